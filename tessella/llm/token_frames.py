@@ -25,7 +25,7 @@ END_ID = 1
 SKIPPABLE_MAGIC = 0x184D2A5E
 SEEKABLE_MAGIC = 0x8F92EAB1
 CHECKSUM_FLAG = 0x80
-_CACHE_WORDS = 400_000
+_CACHE_WORDS = 200_000
 
 
 class FrameWriter:
@@ -93,6 +93,9 @@ def _open(uri: str, mode: str):
 def make_encoder(tokenizer_path: str):
     """Texts -> ids as bytes. White space never lies inside a token, so the library sees each
     distinct blank-separated piece once and a bounded cache serves the repeats."""
+    import os
+
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; more threads only hold memory
     from tokenizers import Tokenizer
 
     tk, cache = Tokenizer.from_file(tokenizer_path), {}
@@ -104,8 +107,8 @@ def make_encoder(tokenizer_path: str):
         if len(cache) > _CACHE_WORDS:
             cache = {}
         new = list({w for ws in split for w in ws} - cache.keys())
-        for a in range(0, len(new), 20_000):
-            part = new[a : a + 20_000]
+        for a in range(0, len(new), 4_000):
+            part = new[a : a + 4_000]
             for w, e in zip(part, tk.encode_batch_fast(part, add_special_tokens=False), strict=True):
                 ids = e.ids
                 cache[w] = struct.pack(f"<{len(ids)}I", *ids)
@@ -115,7 +118,7 @@ def make_encoder(tokenizer_path: str):
     return encode
 
 
-def _pieces(batch, most_chars: int = 4_000_000):
+def _pieces(batch, most_chars: int = 1_000_000):
     """Slices of an Arrow batch with bounded text."""
     ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
     a = size = 0
