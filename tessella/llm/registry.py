@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessella.llm import simhash, token_frames, unigram_counts
+from tessella.llm import decontaminate, licenses, mixing, simhash, token_frames, unigram_counts
 from tessella.llm.common import table
 
 
@@ -26,5 +26,31 @@ def op3_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_frames, op2_unigram_token_counts, op3_simhash_golay)}
-ORACLE_SQL: dict[str, str] = {}
+def op5_minhash_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op7_license_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+def op8_poisson_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "source", "copy", "n_copies", "shuffle_key")
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_token_frames,
+        op2_unigram_token_counts,
+        op3_simhash_golay,
+        op5_minhash_containment,
+        op7_license_digests,
+        op8_poisson_mixing,
+    )
+}
+ORACLE_SQL: dict[str, str] = {
+    "op5_minhash_containment": decontaminate.ORACLE,
+    "op7_license_digests": licenses.oracle(),
+    "op8_poisson_mixing": mixing.ORACLE,
+}
