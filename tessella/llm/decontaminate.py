@@ -84,8 +84,8 @@ def contained_items(docs: DataFrame, items: DataFrame, threshold: float = THRESH
     """(doc_id, item_id, n_shingles, n_common, containment) for every pair at `threshold` or more.
 
     Null, empty and wordless texts match nothing; an item of fewer than `k` words matches a
-    document of the same words alone. Rows with equal id count as one document (their best
-    containment is kept); null ids are carried as they are. Empty tables give no rows; columns
+    document of the same words alone. Rows with equal id count as one document (of the
+    shingles of all); null ids are carried as they are. Empty tables give no rows; columns
     other than the id and text are ignored."""
     thin = docs.selectExpr("doc_id", "text")
     item = items.selectExpr("item_id", "text")
@@ -103,11 +103,11 @@ def contained_items(docs: DataFrame, items: DataFrame, threshold: float = THRESH
 
     item_shingles = item.select("item_id", _shingles(F.col("text"), k).alias("s")).select(F.col("item_id").alias("of_item"), F.size("s").alias("n_shingles"), F.explode_outer("s").alias("want"))
     found = thin.join(candidates.select(F.col("doc_id").alias("c")).distinct(), F.expr("doc_id <=> c"), "left_semi")
-    found = found.select("doc_id", F.monotonically_increasing_id().alias("row"), F.explode_outer(_shingles(F.col("text"), k)).alias("shingle"))
+    found = found.select("doc_id", F.explode_outer(_shingles(F.col("text"), k)).alias("shingle"))
     wanted = candidates.join(item_shingles, F.expr("item_id <=> of_item")).select(F.col("doc_id").alias("want_doc"), "item_id", "n_shingles", "want")
     common = found.join(wanted, F.expr("doc_id <=> want_doc and shingle = want"))
-    common = common.groupBy("doc_id", "row", "item_id", "n_shingles").agg(F.count("*").alias("n_common"))
-    best = common.groupBy("doc_id", "item_id", "n_shingles").agg(F.max("n_common").alias("n_common"))
+    common = common.select("doc_id", "item_id", "n_shingles", "shingle").distinct()
+    best = common.groupBy("doc_id", "item_id", "n_shingles").agg(F.count("*").alias("n_common"))
     out = best.select("doc_id", "item_id", F.col("n_shingles").cast("long").alias("n_shingles"), "n_common", (F.col("n_common") / F.col("n_shingles")).alias("containment"))
     return out.where(F.col("n_common") >= F.col("n_shingles") * F.lit(threshold))
 
