@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessella.llm import decontaminate, licenses, mixing, simhash, token_frames, unigram_counts
+from tessella.llm import decontaminate, licenses, matroska, mixing, quality, simhash, token_frames, toxicity, unigram_counts
 from tessella.llm.common import table
 
 
@@ -26,10 +26,18 @@ def op3_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op4_factorization_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_minhash_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op6_quadratic_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_license_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
@@ -38,15 +46,22 @@ def op8_poisson_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "source", "copy", "n_copies", "shuffle_key")
 
 
+def op9_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return matroska.media_digests(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_token_frames,
         op2_unigram_token_counts,
         op3_simhash_golay,
+        op4_factorization_toxicity,
         op5_minhash_containment,
+        op6_quadratic_quality,
         op7_license_digests,
         op8_poisson_mixing,
+        op9_matroska,
     )
 }
 ORACLE_SQL: dict[str, str] = {
