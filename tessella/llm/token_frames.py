@@ -25,7 +25,7 @@ END_ID = 1
 SKIPPABLE_MAGIC = 0x184D2A5E
 SEEKABLE_MAGIC = 0x8F92EAB1
 CHECKSUM_FLAG = 0x80
-_CACHE_WORDS = 200_000
+_CACHE_WORDS = 500_000
 
 
 class FrameWriter:
@@ -90,28 +90,56 @@ def _open(uri: str, mode: str):
     return store.open_input_file(path)
 
 
+def _byte_letters() -> dict[int, str]:
+    """The library's byte-level alphabet, by its rule: printable bytes stand for themselves, the
+    others for the code points from 256 on, in order."""
+    shown = {b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174}
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: chr(b) if b in shown else chr(256 + hidden.index(b)) for b in range(256)}
+
+
 def make_encoder(tokenizer_path: str):
-    """Texts -> ids as bytes. White space never lies inside a token, so the library sees each
-    distinct blank-separated piece once and a bounded cache serves the repeats."""
+    """Texts -> ids as bytes. White space never lies inside a token, so each distinct
+    blank-separated piece is encoded once and a bounded cache serves the repeats. A piece of
+    precomposed Latin letters and closing marks goes straight to the library's model, as its
+    normaliser and splitter do nothing there but lower the letters and part the marks; any
+    other piece takes the library's whole way."""
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; more threads only hold memory
     from tokenizers import Tokenizer
 
-    tk, cache = Tokenizer.from_file(tokenizer_path), {}
+    tk = Tokenizer.from_file(tokenizer_path)
+    tokenize, letters = tk.model.tokenize, _byte_letters()
+    cache, cores, marks = {}, {}, ".,!?;:*&%$#)|"
     end = struct.pack("<I", END_ID)
 
+    def packed(ids: list[int]) -> bytes:
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def run(part: str) -> bytes:
+        """Ids of one pre-token."""
+        got = cores.get(part)
+        if got is None:
+            mapped = part if part.isascii() else "".join([letters[b] for b in part.encode()])
+            got = cores[part] = packed([t.id for t in tokenize(mapped)])
+        return got
+
+    def piece(w: str) -> bytes:
+        core = w.rstrip(marks)
+        if core.isalpha() and max(core) < "\u0250" and "\u0130" not in core:
+            return run(core.lower()) + (run(w[len(core) :]) if len(core) < len(w) else b"")
+        return packed(tk.encode(w, add_special_tokens=False).ids)
+
     def encode(texts: list[str | None]) -> list[bytes]:
-        nonlocal cache
+        nonlocal cache, cores
         split = [(t or "").replace("\n", " ").split(" ") for t in texts]
         if len(cache) > _CACHE_WORDS:
             cache = {}
-        new = list({w for ws in split for w in ws} - cache.keys())
-        for a in range(0, len(new), 4_000):
-            part = new[a : a + 4_000]
-            for w, e in zip(part, tk.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                ids = e.ids
-                cache[w] = struct.pack(f"<{len(ids)}I", *ids)
+        if len(cores) > _CACHE_WORDS:
+            cores.clear()
+        for w in {w for ws in split for w in ws} - cache.keys():
+            cache[w] = piece(w)
         get = cache.__getitem__
         return [b"".join(map(get, ws)) + end for ws in split]
 

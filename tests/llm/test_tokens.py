@@ -29,6 +29,14 @@ def test_round_trip_against_the_library(spark):
     assert token_frames.token_frames(frame(spark).limit(0), BPE).count() == 0
 
 
+def test_shortcuts_equal_the_whole_way():
+    texts = ["Thing. THING!! 'sTuff don't... a.,b ÄÖÜß. naïve*** İstanbul Σίσυφος. ª º µm Æther, ŉ ǅ 12a ²x Ⅷ x_y e\u0301! <|endoftext|>. ab<|endoftext|> word| | || %%% ŀ ﬁ K Å",
+             "tab\there\rand\u00a0there\u2028x\x85y", "日本語. Привет, мир! ٣ हिन्दी", "Ñandú&&& élève$$$ ÇA### œuvre: Ÿ; (x) x) ..,"]
+    tk = Tokenizer.from_file(BPE)
+    want = [np.array(tk.encode(t, add_special_tokens=False).ids + [1], "<u4").tobytes() for t in texts]
+    assert token_frames.make_encoder(BPE)(texts) == want
+
+
 def test_reader_decompresses_one_document_and_finds_damage(spark, tmp_path):
     manifest = token_frames.write_token_frames(frame(spark), shared_folder(spark, "t"), BPE, 1).collect()
     path = manifest[0]["path"].removeprefix("file://")
