@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessella.llm import decontaminate, licenses, matroska, mixing, quality, simhash, token_frames, toxicity, unigram_counts
+from tessella.llm import decontaminate, licenses, matroska, mixing, pii, quality, simhash, token_frames, toxicity, unigram_counts
 from tessella.llm.common import table
 
 
@@ -50,6 +50,16 @@ def op9_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matroska.media_digests(table(spark, sf_dir, "documents"))
 
 
+def op10_boosted_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digests(table(spark, sf_dir, "documents"))
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -62,6 +72,8 @@ QUERIES = {
         op7_license_digests,
         op8_poisson_mixing,
         op9_matroska,
+        op10_boosted_pii,
+        pipeline,
     )
 }
 ORACLE_SQL: dict[str, str] = {
