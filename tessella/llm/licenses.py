@@ -7,6 +7,8 @@ lines, as a notice is an entire text of one line.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -55,6 +57,15 @@ def known_digests(spark: SparkSession) -> DataFrame:
     return rows.select("license_id", F.length("c").alias("n_chars"), F.sha2("c", 256).alias("digest")).distinct()
 
 
+def first_words() -> str:
+    """Pattern of the words that a known canonical form starts with, in their equal spellings.
+
+    A text without a line that starts so can have no known form; the test reads the head of
+    each line, the full normalisation then runs on what is left."""
+    heads = sorted({re.match(r"\W*(\w+)", t)[1].lower() for _, t in KNOWN})
+    return r"(?m)^[^\p{L}\p{N}\n]*+(?iu:" + "|".join(h.replace("licens", "licen[cs]") for h in heads) + r")(?![\p{L}\p{N}])"
+
+
 def scan(docs: DataFrame) -> DataFrame:
     """(doc_id, license_id, n_lines, whole_text): the known texts each document holds.
 
@@ -63,8 +74,9 @@ def scan(docs: DataFrame) -> DataFrame:
     gives no rows; columns other than doc_id and text are ignored."""
     known = known_digests(docs.sparkSession)
     most = max(len(t) for _, t in KNOWN) + 200
-    units = docs.select("doc_id", "text").where("text is not null")
-    lines = units.select("doc_id", F.explode(F.split("text", "\n")).alias("unit"), F.lit(False).alias("whole"))
+    heads = first_words()
+    units = docs.select("doc_id", "text").where(F.col("text").rlike(heads))
+    lines = units.select("doc_id", F.explode(F.split("text", "\n")).alias("unit"), F.lit(False).alias("whole")).where(F.col("unit").rlike(heads))
     unit = lines.unionByName(units.where(F.instr("text", "\n") > 0).select("doc_id", F.col("text").alias("unit"), F.lit(True).alias("whole")))
     form = unit.select("doc_id", "whole", (F.instr("unit", "\n") > 0).alias("many"), canonical(F.col("unit")).alias("c")).where(F.col("c") != "")
     form = form.withColumn("n_chars", F.length("c")).where(F.col("n_chars") <= most).withColumn("digest", F.sha2("c", 256))
