@@ -12,6 +12,7 @@ import json
 import struct
 import zlib
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import xxhash
@@ -98,12 +99,13 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) if b in shown else chr(256 + hidden.index(b)) for b in range(256)}
 
 
+@cache
 def make_encoder(tokenizer_path: str):
     """Texts -> ids as bytes. White space never lies inside a token, so each distinct
     blank-separated piece is encoded once and a bounded cache serves the repeats. A piece of
     precomposed Latin letters and closing marks goes straight to the library's model, as its
     normaliser and splitter do nothing there but lower the letters and part the marks; any
-    other piece takes the library's whole way."""
+    other piece takes the library's whole way. A worker's tasks share one encoder."""
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; more threads only hold memory
@@ -111,7 +113,7 @@ def make_encoder(tokenizer_path: str):
 
     tk = Tokenizer.from_file(tokenizer_path)
     tokenize, letters = tk.model.tokenize, _byte_letters()
-    cache, cores, marks = {}, {}, ".,!?;:*&%$#)|"
+    cores, marks = {}, ".,!?;:*&%$#)|"
     end = struct.pack("<I", END_ID)
 
     def packed(ids: list[int]) -> bytes:
@@ -131,17 +133,23 @@ def make_encoder(tokenizer_path: str):
             return run(core.lower()) + (run(w[len(core) :]) if len(core) < len(w) else b"")
         return packed(tk.encode(w, add_special_tokens=False).ids)
 
+    class Pieces(dict):
+        def __missing__(self, w: str) -> bytes:
+            got = self[w] = piece(w)
+            return got
+
+    pieces = Pieces()
+    get = pieces.__getitem__
+
     def encode(texts: list[str | None]) -> list[bytes]:
-        nonlocal cache, cores
-        split = [(t or "").replace("\n", " ").split(" ") for t in texts]
-        if len(cache) > _CACHE_WORDS:
-            cache = {}
-        if len(cores) > _CACHE_WORDS:
-            cores.clear()
-        for w in {w for ws in split for w in ws} - cache.keys():
-            cache[w] = piece(w)
-        get = cache.__getitem__
-        return [b"".join(map(get, ws)) + end for ws in split]
+        out = []
+        for t in texts:
+            out.append(b"".join(map(get, (t or "").replace("\n", " ").split(" "))) + end)
+            if len(pieces) > _CACHE_WORDS:
+                pieces.clear()
+            if len(cores) > _CACHE_WORDS:
+                cores.clear()
+        return out
 
     return encode
 
