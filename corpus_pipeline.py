@@ -13,8 +13,8 @@ TOKENIZER = "word_bpe_49k.json"
 
 def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """Documents whose id is not among `ids` (column doc_id); a null id is compared as a value."""
-    gone = ids.select(F.col("doc_id").alias("gone_id")).distinct()
-    return docs.join(gone, F.expr("doc_id <=> gone_id"), "left_anti")
+    gone = ids.select(F.col("doc_id").alias("_gone_id")).distinct()
+    return docs.join(gone, F.expr("doc_id <=> _gone_id"), "left_anti")
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,7 +35,8 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixing.mix(docs).select(*docs.columns)
+    rows = docs.select("doc_id", "source", F.struct(*docs.columns).alias("_row"))
+    return mixing.mix(rows).select("_row.*")
 
 
 def tokenized(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

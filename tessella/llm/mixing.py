@@ -40,17 +40,17 @@ def rates(docs: DataFrame, weights: dict[str, float] | None = None, size: float
 
     A source that has no weight gets none of the mix; a weight without documents is left out
     and its share goes to the others. `size` None: as many documents as there are."""
-    counts = docs.groupBy(F.col("source").alias("mix_source")).agg(F.count("*").alias("n"))
+    counts = docs.groupBy(F.col("source").alias("_mix_source")).agg(F.count("*").alias("n"))
     if weights is None:
         weight = F.lit(1.0)
     else:
         weight = F.lit(0.0)
         for name, w in weights.items():
-            weight = F.when(F.col("mix_source") == name, F.lit(float(w))).otherwise(weight)
+            weight = F.when(F.col("_mix_source") == name, F.lit(float(w))).otherwise(weight)
     counts = counts.withColumn("weight", weight)
     total = counts.agg(F.sum("weight").alias("weights"), F.sum("n").alias("total"))
     target = F.col("total") if size is None else F.lit(float(size))
-    return counts.crossJoin(F.broadcast(total)).select("mix_source", "n", F.when(F.col("weights") > 0, F.col("weight") * target / F.col("weights") / F.col("n")).otherwise(0.0).alias("rate"))
+    return counts.crossJoin(F.broadcast(total)).select("_mix_source", "n", F.when(F.col("weights") > 0, F.col("weight") * target / F.col("weights") / F.col("n")).otherwise(0.0).alias("rate"))
 
 
 def mix(docs: DataFrame, weights: dict[str, float] | None = None, size: float | None = None, seed: int = SEED) -> DataFrame:
@@ -59,14 +59,14 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, size: float |
     Null source is a source of its own that named weights do not reach; null and empty texts
     count like others; rows with equal doc_id get equal counts and keys; an empty table gives
     none. Columns of the added names are replaced. Rates over 500 raise an error."""
-    docs = docs.drop("copy", "n_copies", "rate", "shuffle_key", "mix_source")
+    docs = docs.drop("copy", "n_copies", "rate", "shuffle_key", "_mix_source")
     rate = rates(docs, weights, size)
     rate = rate.withColumn("rate", F.when(F.col("rate") > MOST_RATE, F.raise_error(F.lit("a repetition rate is over 500")).cast("double")).otherwise(F.col("rate")))
-    table = rate.select("mix_source", "rate", poisson_cdf("rate").alias("cdf"))
+    table = rate.select("_mix_source", "rate", poisson_cdf("rate").alias("_mix_cdf"))
     if docs.select("source").distinct().limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES:
         table = F.broadcast(table)
-    placed = docs.join(table, F.col("source").eqNullSafe(F.col("mix_source"))).withColumn("u", uniform(seed, "doc_id"))
-    placed = placed.withColumn("n_copies", F.expr("size(filter(cdf, c -> c <= u))")).where("n_copies > 0").drop("cdf", "u", "mix_source")
+    placed = docs.join(table, F.col("source").eqNullSafe(F.col("_mix_source"))).withColumn("_mix_u", uniform(seed, "doc_id"))
+    placed = placed.withColumn("n_copies", F.expr("size(filter(_mix_cdf, c -> c <= _mix_u))")).where("n_copies > 0").drop("_mix_cdf", "_mix_u", "_mix_source")
     copies = placed.withColumn("copy", F.explode(F.expr("sequence(1, n_copies)")))
     return copies.withColumn("shuffle_key", _hash(seed, "doc_id", "copy")).orderBy("shuffle_key")
 
