@@ -213,3 +213,17 @@ def g11(s, d):
 @query("s9_synthetic_glyphs")
 def s9(s, d):
     return images.synthetic_glyphs(s, per_class=20)
+
+
+@query("e9_analyze_text")
+def e9(s, d):
+    from tessella.plans import recognition
+
+    return recognition.analyze(C.scene(s, d), recognition.default_model(s))
+
+
+@query("e10_recognize_text")
+def e10(s, d):
+    from tessella.plans import recognition
+
+    return recognition.recognize(C.scene(s, d), recognition.default_model(s), plate_format=True)
