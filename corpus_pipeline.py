@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessella.llm import decontaminate, mixing, simhash, token_frames, toxicity
 from tessella.llm.common import shared_folder, table
+from tessella.ship import ship
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -58,6 +59,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
     docs = table(spark, sf_dir, "documents")
     for i, (name, stage) in enumerate(STAGES):
         path = shared_folder(spark, f"pipeline-{i}-{name}")
