@@ -27,6 +27,7 @@ SEED = 42
 #: A key under which more fingerprints are filed goes to the blockwise path.
 HEAVY = 16
 BLOCK = 2048
+HOT = 500
 
 
 def fingerprint(text: str | None, words_per_shingle: int = 3) -> int:
@@ -169,10 +170,15 @@ def near_duplicates(docs: DataFrame, segments: int = 4) -> DataFrame:
     doc_id are kept; a null doc_id counts only where its group has no other. An empty table
     gives no rows; columns other than doc_id and text are ignored."""
     fps = durable(fingerprints(docs))
-    groups = durable(fps.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
+    groups = durable(fps.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n")))
     roots = durable(components(links(groups, segments)))
     named = roots.join(groups.withColumnRenamed("fp", "node"), "node")
     least = named.groupBy("root").agg(F.min("first_id").alias("least_id"))
     named = roots.join(least, "root").select(F.col("node").alias("fp"), "least_id")
-    of_fp = groups.join(named, "fp", "left").select("fp", F.coalesce("least_id", "first_id").alias("component_id"))
-    return fps.join(of_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    of_fp = groups.join(named, "fp", "left").select("fp", "n", F.coalesce("least_id", "first_id").alias("component_id"))
+    # A fingerprint of over 1 row in HOT is dealt out by broadcast: there are fewer than HOT of them.
+    total = groups.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    hot = F.broadcast(of_fp.where(F.col("n") * HOT > total).select("fp", "component_id"))
+    of_rest = of_fp.where(F.col("n") * HOT <= total).select("fp", "component_id")
+    placed = fps.join(hot, "fp").unionByName(fps.join(hot, "fp", "left_anti").join(of_rest, "fp"))
+    return placed.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
