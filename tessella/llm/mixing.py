@@ -35,8 +35,8 @@ def poisson_cdf(rate: str) -> Column:
                   a -> a.cdf)""")
 
 
-def rates(docs: DataFrame, weights: dict[str, float] | None = None, size: float | None = None) -> DataFrame:
-    """(mix_source, n, rate): mean repetition of each source; `weights` None: all sources alike.
+def rates(docs: DataFrame, weights: dict[str, float] | None = None, size: float | None = None) -> tuple[DataFrame, int]:
+    """((_mix_source, n, rate), number of sources): mean repetition of each source; `weights` None: all sources alike.
 
     A source that has no weight gets none of the mix; a weight without documents is left out
     and its share goes to the others. `size` None: as many documents as there are."""
@@ -48,9 +48,10 @@ def rates(docs: DataFrame, weights: dict[str, float] | None = None, size: float
         for name, w in weights.items():
             weight = F.when(F.col("_mix_source") == name, F.lit(float(w))).otherwise(weight)
     counts = counts.withColumn("weight", weight)
-    total = counts.agg(F.sum("weight").alias("weights"), F.sum("n").alias("total"))
-    target = F.col("total") if size is None else F.lit(float(size))
-    return counts.crossJoin(F.broadcast(total)).select("_mix_source", "n", F.when(F.col("weights") > 0, F.col("weight") * target / F.col("weights") / F.col("n")).otherwise(0.0).alias("rate"))
+    facts = counts.agg(F.coalesce(F.sum("weight"), F.lit(0.0)).alias("weights"), F.coalesce(F.sum("n"), F.lit(0)).alias("total"), F.count("*").alias("sources")).first()
+    target = float(facts.total) if size is None else float(size)
+    rate = F.col("weight") * F.lit(target) / F.lit(facts.weights) / F.col("n") if facts.weights > 0 else F.lit(0.0)
+    return counts.select("_mix_source", "n", rate.alias("rate")), facts.sources
 
 
 def mix(docs: DataFrame, weights: dict[str, float] | None = None, size: float | None = None, seed: int = SEED) -> DataFrame:
@@ -60,10 +61,10 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, size: float |
     count like others; rows with equal doc_id get equal counts and keys; an empty table gives
     none. Columns of the added names are replaced. Rates over 500 raise an error."""
     docs = docs.drop("copy", "n_copies", "rate", "shuffle_key", "_mix_source")
-    rate = rates(docs, weights, size)
+    rate, sources = rates(docs, weights, size)
     rate = rate.withColumn("rate", F.when(F.col("rate") > MOST_RATE, F.raise_error(F.lit("a repetition rate is over 500")).cast("double")).otherwise(F.col("rate")))
     table = rate.select("_mix_source", "rate", poisson_cdf("rate").alias("_mix_cdf"))
-    if docs.select("source").distinct().limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES:
+    if sources <= BROADCAST_SOURCES:
         table = F.broadcast(table)
     placed = docs.join(table, F.col("source").eqNullSafe(F.col("_mix_source"))).withColumn("_mix_u", uniform(seed, "doc_id"))
     placed = placed.withColumn("n_copies", F.expr("size(filter(_mix_cdf, c -> c <= _mix_u))")).where("n_copies > 0").drop("_mix_cdf", "_mix_u", "_mix_source")
