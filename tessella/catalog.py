@@ -56,12 +56,12 @@ JOIN heat c ON c.image_id = f.image_id AND c.y = least(y0 + 1, 30) AND c.x = x0
 
 @query("p8_resize_bilinear", f"WITH {C.HEAT_SQL}, {_RESIZE}")
 def p8(s, d):
-    return C.unpacked(packed.filtered(C.packed(C.heat(s, d)), lambda a: kernels.resize(a, (16, 12))))
+    return packed.filtered_cells(C.packed(C.heat(s, d)), lambda a: kernels.resize(a, (16, 12)))
 
 
 @query("p7_rotate")
 def p7(s, d):
-    return C.unpacked(packed.filtered(C.packed(C.heat(s, d)), lambda a: kernels.rotate(a, 7.5)))
+    return packed.filtered_cells(C.packed(C.heat(s, d)), lambda a: kernels.rotate(a, 7.5))
 
 
 @query("a1_histogram", f"WITH {C.TEXTMAP_SQL}, {_HIST} SELECT image_id, v, cnt FROM h")
@@ -120,12 +120,12 @@ _GW = f"CASE o WHEN 0 THEN {_G[1]!r}::DOUBLE ELSE {_G[0]!r}::DOUBLE END"
 
 @query("w4_gaussian_blur", f"WITH {C.HEAT_SQL}, {_TAPS}, {_pass('heat', 'x', 23, _GW, 'p')}, {_pass('p', 'y', 30, _GW, 'q')} SELECT image_id, y, x, CAST(round_even(v, 0) AS INTEGER) AS v FROM q")
 def w4(s, d):
-    return C.unpacked(packed.filtered(C.packed(C.heat(s, d)), lambda a: kernels.blur(a, 3, 1.0)))
+    return packed.filtered_cells(C.packed(C.heat(s, d)), lambda a: kernels.blur(a, 3, 1.0))
 
 
 @query("w5_median_filter", f"WITH {C.HEAT_SQL}, {_TAPS}, m AS (SELECT a.image_id, a.y, a.x, list_sort(list(b.v)) AS l FROM heat a CROSS JOIN taps t CROSS JOIN taps u JOIN heat b ON b.image_id = a.image_id AND b.y = {_AT.format(c='a.y', o='t.o', n=30)} AND b.x = {_AT.format(c='a.x', o='u.o', n=23)} GROUP BY 1, 2, 3) SELECT image_id, y, x, l[5] AS v FROM m")
 def w5(s, d):
-    return C.unpacked(packed.filtered(C.packed(C.heat(s, d)), lambda a: kernels.median(a, 3)))
+    return packed.filtered_cells(C.packed(C.heat(s, d)), lambda a: kernels.median(a, 3))
 
 
 _SMOOTH, _STEP = "CASE o WHEN 0 THEN 2 ELSE 1 END", "o"
@@ -138,12 +138,12 @@ def _peak(value: str) -> str:
 
 @query("w7_sobel", f"WITH {_SOBEL} " + _peak("SELECT gx.image_id, gx.y, gx.x, sqrt(CAST(gx.v * gx.v + gy.v * gy.v AS DOUBLE)) AS g FROM gx JOIN gy USING (image_id, y, x)"))
 def w7(s, d):
-    return C.unpacked(packed.filtered(C.packed(C.heat(s, d)), kernels.sobel))
+    return packed.filtered_cells(C.packed(C.heat(s, d)), kernels.sobel)
 
 
 @query("w8_sobel_x", f"WITH {_SOBEL} " + _peak("SELECT image_id, y, x, abs(CAST(v AS DOUBLE)) AS g FROM gx"))
 def w8(s, d):
-    return C.unpacked(packed.filtered(C.packed(C.heat(s, d)), kernels.sobel_x))
+    return packed.filtered_cells(C.packed(C.heat(s, d)), kernels.sobel_x)
 
 
 @query("w6_clahe")

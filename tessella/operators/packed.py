@@ -44,6 +44,21 @@ def filtered(df: DataFrame, kernel: Callable[[np.ndarray], np.ndarray]) -> DataF
     return rows(df, PACKED, make)
 
 
+def filtered_cells(df: DataFrame, kernel: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
+    """The kernel's result as LONG cells."""
+
+    def run(batches):
+        import pandas as pd
+
+        for pdf in batches:
+            for image_id, h, w, data in zip(pdf.image_id, pdf.h, pdf.w, pdf.data, strict=True):
+                out = kernel(np.frombuffer(data, np.uint8).reshape(h, w))
+                y, x = np.indices(out.shape)
+                yield pd.DataFrame({"image_id": image_id, "y": y.ravel(), "x": x.ravel(), "v": out.ravel().astype(int)})
+
+    return df.select("image_id", "h", "w", "data").mapInPandas(run, "image_id long, y int, x int, v int")
+
+
 def components(df: DataFrame, connectivity: int = 8) -> DataFrame:
     return rows(df, COMPONENT, lambda _, a: K.stats(*K.label(a, connectivity)))
 

@@ -49,9 +49,9 @@ def packed(long: DataFrame) -> DataFrame:
 
 def unpacked(df: DataFrame) -> DataFrame:
     """LONG cells of packed rasters."""
-    digits = F.hex("data")
-    cells = df.select("image_id", "w", digits.alias("d"), F.explode(F.expr("sequence(0, h * w - 1)")).alias("i"))
-    return cells.selectExpr("image_id", "cast(i div w as int) y", "cast(i % w as int) x", "cast(conv(substring(d, 2 * i + 1, 2), 16, 10) as int) v")
+    pairs = F.regexp_extract_all(F.hex("data"), F.lit(".."), F.lit(0))
+    cells = df.select("image_id", "w", F.posexplode(pairs).alias("i", "d"))
+    return cells.selectExpr("image_id", "cast(i div w as int) y", "cast(i % w as int) x", "cast(conv(d, 16, 10) as int) v")
 
 
 def scene(spark: SparkSession, sf_dir: str) -> DataFrame:
