@@ -142,6 +142,37 @@ def erode(a: np.ndarray, h: int, w: int) -> np.ndarray:
     return slide(slide(threshold(a, 0), w, 1, False), h, 0, False)
 
 
+def rect(h: int, w: int) -> np.ndarray:
+    if h <= 0 or w <= 0:
+        raise ValueError("the element must have a size")
+    return np.ones((h, w), bool)
+
+
+def cross(size: int) -> np.ndarray:
+    if size < 3 or size % 2 == 0:
+        raise ValueError("a cross has an odd size of 3 or more")
+    out = np.zeros((size, size), bool)
+    out[size // 2] = out[:, size // 2] = True
+    return out
+
+
+def morph(a: np.ndarray, element: np.ndarray, grow: bool) -> np.ndarray:
+    """Dilation (mirrored border) or erosion (0 outside) by any element, centred at size // 2."""
+    (eh, ew), (h, w) = element.shape, a.shape
+    if not element.any():
+        raise ValueError("the element is empty")
+    rows = [y - eh // 2 for y in range(h + eh)]
+    cols = [x - ew // 2 for x in range(w + ew)]
+    flat = threshold(a, 0)
+    if grow:
+        wide = flat[[_reflect(abs(y), h) for y in rows]][:, [_reflect(abs(x), w) for x in cols]]
+    else:
+        wide = np.zeros((h + eh, w + ew), np.uint8)
+        wide[eh // 2 : eh // 2 + h, ew // 2 : ew // 2 + w] = flat
+    parts = [wide[dy : dy + h, dx : dx + w] for dy, dx in zip(*np.nonzero(element), strict=True)]
+    return np.maximum.reduce(parts) if grow else np.minimum.reduce(parts)
+
+
 def close(a: np.ndarray, h: int, w: int) -> np.ndarray:
     return erode(dilate(a, h, w), h, w)
 

@@ -202,3 +202,19 @@ def test_packing(spark):
     a = np.arange(12, dtype=np.uint8).reshape(3, 4)
     df = carriers.packed(long(spark, a))
     assert bytes(df.first().data) == a.tobytes() and (grid(carriers.unpacked(df), a.shape) == a).all()
+
+
+def test_elements():
+    a = np.zeros((10, 10), np.uint8)
+    a[5, 5] = 255
+    grown = K.morph(a, K.cross(3), True)
+    assert (grown > 0).sum() == 5 and (K.morph(grown, K.cross(3), False) == a).all()
+    rng = np.random.default_rng(0)
+    for _ in range(5):
+        b = (rng.random((9, 12)) < 0.4).astype(np.uint8)
+        for h, w in ((3, 3), (1, 5), (5, 3)):
+            assert (K.morph(b, K.rect(h, w), True) == K.dilate(b, h, w)).all()
+            assert (K.morph(b, K.rect(h, w), False) == K.erode(b, h, w)).all()
+    for bad in (1, 2, 4):
+        with pytest.raises(ValueError):
+            K.cross(bad)
