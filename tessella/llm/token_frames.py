@@ -26,7 +26,7 @@ END_ID = 1
 SKIPPABLE_MAGIC = 0x184D2A5E
 SEEKABLE_MAGIC = 0x8F92EAB1
 CHECKSUM_FLAG = 0x80
-_CACHE_WORDS = 500_000
+_CACHE_WORDS = 400_000
 
 
 class FrameWriter:
@@ -116,8 +116,10 @@ def make_encoder(tokenizer_path: str):
     cores, marks = {}, ".,!?;:*&%$#)|"
     end = struct.pack("<I", END_ID)
 
+    formats = [struct.Struct(f"<{n}I").pack for n in range(33)]
+
     def packed(ids: list[int]) -> bytes:
-        return struct.pack(f"<{len(ids)}I", *ids)
+        return formats[len(ids)](*ids) if len(ids) < 33 else struct.pack(f"<{len(ids)}I", *ids)
 
     def run(part: str) -> bytes:
         """Ids of one pre-token."""
@@ -129,13 +131,20 @@ def make_encoder(tokenizer_path: str):
 
     def piece(w: str) -> bytes:
         core = w.rstrip(marks)
-        if core.isalpha() and max(core) < "\u0250" and "\u0130" not in core:
+        if core.isalpha() and (core.isascii() or max(core) < "\u0250" and "\u0130" not in core):
             return run(core.lower()) + (run(w[len(core) :]) if len(core) < len(w) else b"")
         return packed(tk.encode(w, add_special_tokens=False).ids)
 
     class Pieces(dict):
+        """Two generations: what is asked for again outlives the change."""
+
+        old: dict[str, bytes] = {}
+
         def __missing__(self, w: str) -> bytes:
-            got = self[w] = piece(w)
+            got = self.old.get(w)
+            if got is None:
+                got = piece(w)
+            self[w] = got
             return got
 
     pieces = Pieces()
@@ -146,6 +155,7 @@ def make_encoder(tokenizer_path: str):
         for t in texts:
             out.append(b"".join(map(get, (t or "").replace("\n", " ").split(" "))) + end)
             if len(pieces) > _CACHE_WORDS:
+                pieces.old = dict(pieces)
                 pieces.clear()
             if len(cores) > _CACHE_WORDS:
                 cores.clear()
