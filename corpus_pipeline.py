@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.llm import decontaminate, mixing, simhash, token_frames, toxicity
-from tessella.llm.common import shared_folder, table
+from tessella.llm.common import ids_side, shared_folder, table
 from tessella.ship import ship
 
 TOKENIZER = "word_bpe_49k.json"
@@ -14,7 +14,7 @@ TOKENIZER = "word_bpe_49k.json"
 
 def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """Documents whose id is not among `ids` (column doc_id); a null id is compared as a value."""
-    gone = ids.select(F.col("doc_id").alias("_gone_id")).distinct()
+    gone = ids_side(ids.select(F.col("doc_id").alias("_gone_id")))
     return docs.join(gone, F.expr("doc_id <=> _gone_id"), "left_anti")
 
 

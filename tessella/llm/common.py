@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,5 +35,15 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Ids (16 bytes each) that may be broadcast instead of shuffling the texts they are joined with.
+BROADCAST_IDS = 2_000_000
+
+
+def ids_side(ids: DataFrame) -> DataFrame:
+    """Distinct ids, held durably, as a broadcast side if their count allows it, else as they are."""
+    ids = durable(ids.distinct())
+    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import durable
+from tessella.llm.common import durable, ids_side
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -102,7 +102,7 @@ def contained_items(docs: DataFrame, items: DataFrame, threshold: float = THRESH
     candidates = durable(doc_sketch.join(item_sketch, ["p", "h"]).select("doc_id", "item_id").distinct())
 
     item_shingles = item.select("item_id", _shingles(F.col("text"), k).alias("s")).select(F.col("item_id").alias("of_item"), F.size("s").alias("n_shingles"), F.explode_outer("s").alias("want"))
-    found = thin.join(candidates.select(F.col("doc_id").alias("c")).distinct(), F.expr("doc_id <=> c"), "left_semi")
+    found = thin.join(ids_side(candidates.select(F.col("doc_id").alias("c"))), F.expr("doc_id <=> c"), "left_semi")
     found = found.select("doc_id", F.explode_outer(_shingles(F.col("text"), k)).alias("shingle"))
     wanted = candidates.join(item_shingles, F.expr("item_id <=> of_item")).select(F.col("doc_id").alias("want_doc"), "item_id", "n_shingles", "want")
     common = found.join(wanted, F.expr("doc_id <=> want_doc and shingle = want"))
