@@ -26,7 +26,7 @@ END_ID = 1
 SKIPPABLE_MAGIC = 0x184D2A5E
 SEEKABLE_MAGIC = 0x8F92EAB1
 CHECKSUM_FLAG = 0x80
-_CACHE_WORDS = 400_000
+_CACHE_WORDS = 120_000
 
 
 class FrameWriter:
