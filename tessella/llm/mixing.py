@@ -3,7 +3,9 @@
 A source's mean repetition rate is its target share of `size` documents over the documents it
 has. A document's count inverts the Poisson distribution with that mean at a uniform number
 hashed from seed and doc_id, so equal runs give equal mixes and sources do not disturb each
-other. Copies are exploded and sorted by a hash of (seed, doc_id, copy).
+other. Copies are exploded and sorted by a hash of (seed, doc_id, copy). No rate is too high:
+beyond TABLE_RATE each row sums the terms around its mean, relative to the first of them, as
+exp(-rate) would underflow and a table of the source would be long.
 """
 
 from __future__ import annotations
@@ -14,7 +16,10 @@ from pyspark.sql import functions as F
 SEED = 17
 #: Sources whose rates may be broadcast; with more, rates are joined by a shuffle.
 BROADCAST_SOURCES = 10_000
-MOST_RATE = 500.0
+#: Rates up to this have their distribution function as a table for the source.
+TABLE_RATE = 500.0
+#: Copies exploded at once, so that no array grows with the rate.
+BLOCK = 65_536
 
 
 def _hash(*parts) -> Column:
@@ -35,6 +40,29 @@ def poisson_cdf(rate: str) -> Column:
                   a -> a.cdf)""")
 
 
+def _window(rate: str) -> tuple[str, str]:
+    """Bounds of the counts that doubles tell apart: beyond 12 deviations a tail is under 2^-52."""
+    return f"cast(greatest(0, floor({rate} - 12 * sqrt({rate}) - 20)) as bigint)", f"cast(ceil({rate} + 12 * sqrt({rate}) + 20) as bigint)"
+
+
+def window_mass(rate: str) -> Column:
+    """The sum of the window's terms, the first of them taken as 1."""
+    low, high = _window(rate)
+    return F.expr(f"""
+        aggregate(sequence({low} + 1, {high}), named_struct('mass', 1d, 'p', 1d),
+                  (a, k) -> named_struct('mass', a.mass + a.p * {rate} / k, 'p', a.p * {rate} / k),
+                  a -> a.mass)""")
+
+
+def window_count(rate: str, mass: str, u: str) -> Column:
+    """How many values of the distribution function are at most `u`, from the terms of the window."""
+    low, high = _window(rate)
+    return F.expr(f"""
+        {low} + aggregate(sequence({low} + 1, {high}), named_struct('cdf', 1d / {mass}, 'p', 1d / {mass}, 'n', if(1d / {mass} <= {u}, 1L, 0L)),
+                  (a, k) -> named_struct('cdf', a.cdf + a.p * {rate} / k, 'p', a.p * {rate} / k, 'n', a.n + if(a.cdf + a.p * {rate} / k <= {u}, 1L, 0L)),
+                  a -> a.n)""")
+
+
 def rates(docs: DataFrame, weights: dict[str, float] | None = None, size: float | None = None) -> tuple[DataFrame, int]:
     """((_mix_source, n, rate), number of sources): mean repetition of each source; `weights` None: all sources alike.
 
@@ -59,16 +87,18 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, size: float |
 
     Null source is a source of its own that named weights do not reach; null and empty texts
     count like others; rows with equal doc_id get equal counts and keys; an empty table gives
-    none. Columns of the added names are replaced. Rates over 500 raise an error."""
+    none. Columns of the added names are replaced. copy and n_copies are longs."""
     docs = docs.drop("copy", "n_copies", "rate", "shuffle_key", "_mix_source")
     rate, sources = rates(docs, weights, size)
-    rate = rate.withColumn("rate", F.when(F.col("rate") > MOST_RATE, F.raise_error(F.lit("a repetition rate is over 500")).cast("double")).otherwise(F.col("rate")))
-    table = rate.select("_mix_source", "rate", poisson_cdf("rate").alias("_mix_cdf"))
+    low = F.col("rate") <= TABLE_RATE
+    table = rate.select("_mix_source", "rate", F.when(low, poisson_cdf("rate")).alias("_mix_cdf"), F.when(~low, window_mass("rate")).alias("_mix_mass"))
     if sources <= BROADCAST_SOURCES:
         table = F.broadcast(table)
     placed = docs.join(table, F.col("source").eqNullSafe(F.col("_mix_source"))).withColumn("_mix_u", uniform(seed, "doc_id"))
-    placed = placed.withColumn("n_copies", F.expr("size(filter(_mix_cdf, c -> c <= _mix_u))")).where("n_copies > 0").drop("_mix_cdf", "_mix_u", "_mix_source")
-    copies = placed.withColumn("copy", F.explode(F.expr("sequence(1, n_copies)")))
+    count = F.when(low, F.expr("size(filter(_mix_cdf, c -> c <= _mix_u))")).otherwise(window_count("rate", "_mix_mass", "_mix_u"))
+    placed = placed.withColumn("n_copies", count.cast("long")).where("n_copies > 0").drop("_mix_cdf", "_mix_mass", "_mix_u", "_mix_source")
+    blocks = placed.withColumn("_mix_block", F.explode(F.expr(f"sequence(0L, (n_copies - 1) div {BLOCK})")))
+    copies = blocks.withColumn("copy", F.explode(F.expr(f"sequence(_mix_block * {BLOCK} + 1, least(n_copies, (_mix_block + 1) * {BLOCK}))"))).drop("_mix_block")
     return copies.withColumn("shuffle_key", _hash(seed, "doc_id", "copy")).orderBy("shuffle_key")
 
 
