@@ -1,4 +1,8 @@
-"""The corpus pipeline: toxicity, near-duplicates, decontamination, mixing, token output."""
+"""The corpus pipeline: toxicity, near-duplicates, decontamination, mixing, token output.
+
+The first three stages decide by row, never by id: null ids and rows that share an id are
+documents of their own.
+"""
 
 from __future__ import annotations
 
@@ -6,33 +10,56 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.llm import decontaminate, mixing, simhash, token_frames, toxicity
-from tessella.llm.common import ids_side, shared_folder, table
+from tessella.llm.common import BROADCAST_IDS, durable, ids_side, shared_folder, table
 from tessella.ship import ship
 
 TOKENIZER = "word_bpe_49k.json"
 
 
-def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Documents whose id is not among `ids` (column doc_id); a null id is compared as a value."""
-    gone = ids_side(ids.select(F.col("doc_id").alias("_gone_id")))
-    return docs.join(gone, F.expr("doc_id <=> _gone_id"), "left_anti")
+#: Column of a row's own key while a stage decides; ids may be null or repeated.
+ROW = "_pipeline_row"
+
+
+def _keyed(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """`docs` with a unique key for each row, written, so that every later reading has the same keys."""
+    path = shared_folder(spark, "pipeline-rows")
+    docs.withColumn(ROW, F.monotonically_increasing_id()).write.parquet(path)
+    return spark.read.parquet(path)
+
+
+def _rows(keyed: DataFrame) -> DataFrame:
+    """The text of each row under its key, as the operators take documents."""
+    return keyed.select(F.col(ROW).alias("doc_id"), "text")
+
+
+def _without(keyed: DataFrame, rows: DataFrame) -> DataFrame:
+    """The documents but those whose row key is among `rows` (column doc_id)."""
+    gone = ids_side(rows.select(F.col("doc_id").alias("_gone_row")))
+    return keyed.join(gone, F.col(ROW) == F.col("_gone_row"), "left_anti").drop(ROW)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    scored = toxicity.toxicity(docs, table(spark, sf_dir, "labels"))
-    return _without(docs, scored.where("predicted = 1"))
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    keyed = _keyed(spark, docs)
+    return _without(keyed, toxicity.score(_rows(keyed), model).where(F.col("score") >= toxicity.THRESHOLD))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group the document of least id stays; of rows that share an id, one."""
-    groups = simhash.near_duplicates(docs)
-    kept = _without(docs, groups.where("not doc_id <=> component_id"))
-    repeated = docs.groupBy("doc_id").count().where("count > 1").limit(1).count()
-    return kept.dropDuplicates(["doc_id"]) if repeated else kept
+    """Of each group one row stays, that of least id; a null id only where its group has no other."""
+    keyed = _keyed(spark, docs)
+    near = durable(simhash.near_duplicates(_rows(keyed)).where("doc_id <> component_id").select("doc_id", "component_id"))
+    members = near.unionByName(near.select(F.col("component_id").alias("doc_id"), "component_id").distinct())
+    if near.count() <= BROADCAST_IDS // 2:
+        members = F.broadcast(members)
+    ids = keyed.select(F.col(ROW).alias("_row"), F.col("doc_id").alias("_id"))
+    first = F.min(F.struct(F.col("_id").isNull(), "_id", "_row"))["_row"]
+    stays = members.join(ids, F.col("doc_id") == F.col("_row")).groupBy("component_id").agg(first.alias("_stays")).select("_stays")
+    return _without(keyed, members.join(stays, F.col("doc_id") == F.col("_stays"), "left_anti"))
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _without(docs, decontaminate.contained_items(docs, table(spark, sf_dir, "benchmark")))
+    keyed = _keyed(spark, docs)
+    return _without(keyed, decontaminate.contained_items(_rows(keyed), table(spark, sf_dir, "benchmark")))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
