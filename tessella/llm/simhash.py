@@ -7,7 +7,7 @@ filed under the index its half decodes to and sought under those of the half's o
 changes (six at most), which is exact. Found pairs are verified on all 64 bits.
 
 Four parts give keys of 28 bits and 50 rows a fingerprint, five give 38 bits and 126 rows;
-take five beyond about a billion distinct fingerprints.
+beyond FOUR_SEGMENTS distinct fingerprints five are taken, so that keys stay nearly unique.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessella.llm import golay
-from tessella.llm.common import durable
+from tessella.llm.common import BROADCAST_IDS, durable, shuffle_partitions
 
 MAX_BITS = 3
 SEED = 42
@@ -28,6 +28,7 @@ SEED = 42
 HEAVY = 16
 BLOCK = 2048
 HOT = 500
+FOUR_SEGMENTS = 1_000_000_000
 
 
 def fingerprint(text: str | None, words_per_shingle: int = 3) -> int:
@@ -105,19 +106,25 @@ def fuzzy_keys(fps: DataFrame, segments: int, probe: bool) -> DataFrame:
     return fps.select("fp").mapInArrow(run, "key long, fp long")
 
 
+def _nearest_labels(of: np.ndarray, to: np.ndarray, labels: np.ndarray, none: int) -> np.ndarray:
+    """For each fingerprint of `of` the least label among those of `to` within MAX_BITS."""
+    out = np.full(len(of), none, np.int64)
+    for a in range(0, len(of), 256):
+        near = np.bitwise_count((of[a : a + 256, None] ^ to[None, :]).view(np.uint64)) <= MAX_BITS
+        out[a : a + 256] = np.where(near, labels[None, :], none).min(axis=1, initial=none)
+    return out
+
+
 def _block_edges(pdf):
     """Stars over the linked fingerprints of one pair of blocks: as many rows as members."""
     import pandas as pd
 
     filed, sought = (np.unique(pdf.fp[pdf.probe == p].to_numpy()) for p in (False, True))
-    hit = np.empty((len(sought), len(filed)), bool)
-    for a in range(0, len(sought), 256):
-        hit[a : a + 256] = np.bitwise_count((sought[a : a + 256, None] ^ filed[None, :]).view(np.uint64)) <= MAX_BITS
-    left, right = np.arange(len(sought)), np.arange(len(sought), len(sought) + len(filed))
-    n = len(left) + len(right)
-    while hit.any():
-        new_left = np.minimum(left, np.where(hit, right[None, :], n).min(axis=1))
-        new_right = np.minimum(right, np.where(hit, new_left[:, None], n).min(axis=0))
+    n = len(sought) + len(filed)
+    left, right = np.arange(len(sought)), np.arange(len(sought), n)
+    while True:
+        new_left = np.minimum(left, _nearest_labels(sought, filed, right, n))
+        new_right = np.minimum(right, _nearest_labels(filed, sought, new_left, n))
         if (new_left == left).all() and (new_right == right).all():
             break
         left, right = new_left, new_right
@@ -127,25 +134,49 @@ def _block_edges(pdf):
 
 
 def links(fps: DataFrame, segments: int = 4) -> DataFrame:
-    """Edges (a, b) that connect all distinct fingerprints within three bits of each other."""
-    filed, sought = fuzzy_keys(fps, segments, False), fuzzy_keys(fps, segments, True)
-    counts = filed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > HEAVY)
-    heavy = durable(counts)
-    light = filed.join(heavy, "key", "left_anti").withColumnRenamed("fp", "b").join(sought.withColumnRenamed("fp", "a"), "key")
-    edges = light.where((F.col("b") < F.col("a")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= MAX_BITS)).select("a", "b")
-    if heavy.isEmpty():
+    """Edges (a, b) that connect all distinct fingerprints within three bits of each other.
+
+    Both kinds of keys cross the network once. Keys under which many are filed are counted
+    first; their rows, and no others, go blockwise: a block pair holds BLOCK rows of each side."""
+    # The expansion is fifty rows for one, so it starts from evenly dealt fingerprints.
+    even = fps.select("fp").repartition(shuffle_partitions(fps.sparkSession), "fp")
+    filed, sought = fuzzy_keys(even, segments, False), fuzzy_keys(even, segments, True)
+    heavy = durable(filed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > HEAVY))
+    keys = heavy.count()
+    if keys:
+        named = heavy.select("key", F.ceil(F.col("n") / BLOCK).cast("long").alias("filed_blocks"))
+        few = F.broadcast if keys <= BROADCAST_IDS else lambda df: df
+        light = filed.join(few(named.select("key")), "key", "left_anti")
+    else:
+        light = filed
+    pairs = light.withColumnRenamed("fp", "b").join(sought.withColumnRenamed("fp", "a"), "key")
+    edges = pairs.where((F.col("b") < F.col("a")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= MAX_BITS)).select("a", "b")
+    if not keys:
         return edges.distinct()
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    mine = F.pmod(F.xxhash64("fp"), F.col("blocks"))
-    every = F.expr("sequence(0L, blocks - 1L)")
-    near_filed = filed.join(heavy.withColumn("blocks", blocks.cast("long")), "key")
-    near_sought = sought.join(heavy.withColumn("blocks", blocks.cast("long")), "key")
-    rows = near_filed.select("key", "fp", F.lit(False).alias("probe"), mine.alias("i"), F.explode(every).alias("j")).unionByName(
-        near_sought.select("key", "fp", F.lit(True).alias("probe"), F.explode(every).alias("i"), mine.alias("j"))
+    near = durable(sought.join(few(named), "key"))
+    seekers = near.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("long").alias("sought_blocks"))
+    if keys <= BROADCAST_IDS:
+        seekers = F.broadcast(seekers)
+    block = F.pmod(F.xxhash64("fp"), F.col("blocks"))
+    every = F.expr("sequence(0L, others - 1L)")
+    mine = filed.join(few(named), "key").join(seekers, "key").withColumnsRenamed({"filed_blocks": "blocks", "sought_blocks": "others"})
+    theirs = near.join(seekers, "key").withColumnsRenamed({"sought_blocks": "blocks", "filed_blocks": "others"})
+    rows = mine.select("key", "fp", F.lit(False).alias("probe"), block.alias("i"), F.explode(every).alias("j")).unionByName(
+        theirs.select("key", "fp", F.lit(True).alias("probe"), F.explode(every).alias("i"), block.alias("j"))
     )
     return edges.unionByName(rows.groupBy("key", "i", "j").applyInPandas(_block_edges, "a long, b long")).distinct()
 
 
+def _joined(rows: DataFrame, values: DataFrame, key: str, total: int) -> DataFrame:
+    """`rows` with the one row of `values` (which has n, its rows' number) for their key.
+
+    A key with over 1 row in HOT of the `total` is dealt out by broadcast: there are fewer
+    than HOT of them. The others are shuffled."""
+    hot = F.broadcast(values.where(F.col("n") * HOT > total).drop("n"))
+    rest = values.where(F.col("n") * HOT <= total).drop("n")
+    return rows.join(hot, key).unionByName(rows.join(hot.select(key), key, "left_anti").join(rest, key))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root): the least node reachable, by alternating large and small stars."""
     edges = durable(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
@@ -156,29 +187,26 @@ def components(edges: DataFrame) -> DataFrame:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(edges.select("b", "b").toDF("node", "root")).distinct()
         before = state
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.where("b > a").join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.toDF("a", "b"))
+        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count("*").alias("n"))
+        large = _joined(both.where("b > a"), least, "a", 2 * state[0]).where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        least = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
+        small = _joined(large, least, "a", state[0]).where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
         edges = durable(small.distinct())
 
 
-def near_duplicates(docs: DataFrame, segments: int = 4) -> DataFrame:
+def near_duplicates(docs: DataFrame, segments: int | None = None) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id (least doc_id reachable) for every row.
 
-    Null and empty texts have fingerprint zero and are linked as any other. Rows with equal
-    doc_id are kept; a null doc_id counts only where its group has no other. An empty table
-    gives no rows; columns other than doc_id and text are ignored."""
+    Null and empty texts have fingerprint zero and are linked as any other; a long text is
+    read whole. Rows with equal doc_id are kept; a null doc_id counts only where its group has
+    no other. An empty table gives no rows; columns other than doc_id and text are ignored.
+    `segments` None: chosen by the number of distinct fingerprints."""
     fps = durable(fingerprints(docs))
     groups = durable(fps.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n")))
-    roots = durable(components(links(groups, segments)))
+    total, distinct = groups.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    roots = durable(components(links(groups, segments or (4 if distinct <= FOUR_SEGMENTS else 5))))
     named = roots.join(groups.withColumnRenamed("fp", "node"), "node")
-    least = named.groupBy("root").agg(F.min("first_id").alias("least_id"))
-    named = roots.join(least, "root").select(F.col("node").alias("fp"), "least_id")
+    least = named.groupBy("root").agg(F.min("first_id").alias("least_id"), F.count("*").alias("n"))
+    named = _joined(roots, least, "root", distinct).select(F.col("node").alias("fp"), "least_id")
     of_fp = groups.join(named, "fp", "left").select("fp", "n", F.coalesce("least_id", "first_id").alias("component_id"))
-    # A fingerprint of over 1 row in HOT is dealt out by broadcast: there are fewer than HOT of them.
-    total = groups.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    hot = F.broadcast(of_fp.where(F.col("n") * HOT > total).select("fp", "component_id"))
-    of_rest = of_fp.where(F.col("n") * HOT <= total).select("fp", "component_id")
-    placed = fps.join(hot, "fp").unionByName(fps.join(hot, "fp", "left_anti").join(of_rest, "fp"))
-    return placed.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return _joined(fps, of_fp, "fp", total).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

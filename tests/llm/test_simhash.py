@@ -51,6 +51,25 @@ def test_links_miss_nothing(spark, segments):
     assert {x: got.get(x, x) for x in fps} == root
 
 
+def test_heavy_keys_and_a_hub(spark):
+    """5,000 fingerprints under one key, a chain of them and a hub with all its neighbours."""
+    rng = np.random.default_rng(8)
+    hub = int(rng.integers(0, 1 << 62))
+    same_key = [hub ^ (int(x) << 40) for x in rng.choice(1 << 22, 4_400, replace=False)]
+    near_hub = [hub ^ (1 << i) ^ (1 << j) ^ (1 << k) for i in range(14) for j in range(i) for k in range(j)]
+    fps = np.array(sorted({*same_key, *near_hub, hub}), np.int64)
+    assert len(fps) > 4_700
+    label = np.arange(len(fps))
+    while True:
+        new = np.array([label[np.bitwise_count((fps ^ f).view(np.uint64)) <= 3].min() for f in fps])
+        if (new == label).all():
+            break
+        label = new
+    got = simhash.components(simhash.links(spark.createDataFrame([(int(x),) for x in fps], "fp long")))
+    got = {r.node: r.root for r in got.collect()}
+    assert [got.get(int(x), int(x)) for x in fps] == [int(fps[k]) for k in label]
+
+
 def test_whole_operator_against_brute_force(spark):
     words = "alpha beta gamma delta epsilon zeta eta theta iota kappa".split()
     rng = np.random.default_rng(1)
