@@ -3,27 +3,39 @@
 Terms are words and their prefixes of four and five letters, hashed to 2^22 buckets. The
 score is the logistic of w0 + sum w_i x_i + sum_{i<j} <v_i, v_j> x_i x_j with x_i = 1 for a
 term that occurs anywhere in the text: the factors learn pairs, such as an insult beside a
-mention of a group, and presence does not fade in long texts. Buckets whose occurrence does
-not depend on the label (chi-square) are left out, so rare words add no noise.
+mention of a group, and presence does not fade in long texts.
+
+The machine runs over the buckets that tell something of the label, alone or in a pair, so
+that the many others add no noise. Alone: by chi-square, at a level divided by the number of
+buckets. In a pair: by the residuals of the additive model, summed over the rows that hold the
+bucket and any other one (a random projection of the rows gives the sums over all partners at
+once); the bar is the greatest value that any bucket reaches with shuffled residuals. Neither
+way has a limit on how many pass.
 """
 
 from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from statistics import NormalDist
 
 import numpy as np
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessella.llm.common import durable
 from tessella.llm.sampling import labelled, remainder
 
 BUCKETS = 1 << 22
+#: Bounds of the sample that the machine is learnt from: labelled rows, and their terms.
 TRAIN_ROWS = 8_000
+TRAIN_TERMS = 16_000_000
 FACTORS = 4
-MOST_TERMS = 1024
-CHI_SQUARE = 25.0
+#: Training rows that hold a bucket, at least; fewer cannot reach the level of either test.
+SUPPORT = 5
+LEVEL = 0.05
+PROJECTIONS, SHUFFLES = 16, 4
 THRESHOLD = 0.7
 MODULUS, HELD = 3, 1
 _WORD = re.compile(r"[^\W\d_]+")
@@ -55,68 +67,115 @@ class FactorizationMachine:
         return 1.0 / (1.0 + np.exp(-np.clip(out, -30, 30)))
 
 
+class _Rows:
+    """Distinct terms of rows as one long list, with sums by row and by term."""
+
+    def __init__(self, rows: list[np.ndarray]):
+        self.n = len(rows)
+        self.terms, self.place = np.unique(np.concatenate(rows), return_inverse=True)
+        self.owner = np.repeat(np.arange(self.n), [len(r) for r in rows])
+
+    def keep(self, good: np.ndarray) -> None:
+        inside = good[self.place]
+        self.place, self.owner = (np.cumsum(good) - 1)[self.place[inside]], self.owner[inside]
+        self.terms = self.terms[good]
+
+    def by_row(self, values: np.ndarray) -> np.ndarray:
+        """Per row the sum of `values` (one a term) over its terms."""
+        return np.bincount(self.owner, weights=values[self.place], minlength=self.n)
+
+    def by_term(self, values: np.ndarray) -> np.ndarray:
+        """Per term the sum of `values` (one a row) over its rows."""
+        return np.bincount(self.place, weights=values[self.owner], minlength=len(self.terms))
+
+
+def _descend(x: _Rows, y: np.ndarray, factors: int, rng, steps: int) -> tuple[float, np.ndarray, np.ndarray]:
+    """Bias, weights and factors by Adam on the logistic loss."""
+    n, t = x.n, len(x.terms)
+    p = y.mean()
+    params = [np.array([np.log(p / (1 - p))]), np.zeros(t), rng.normal(0, 0.05, (t, factors))]
+    first, second = [np.zeros_like(q) for q in params], [np.zeros_like(q) for q in params]
+    for step in range(1, steps + 1):
+        bias, w, v = params
+        xv = np.stack([x.by_row(v[:, f]) for f in range(factors)], axis=1) if factors else np.zeros((n, 0))
+        z = bias[0] + x.by_row(w - 0.5 * (v**2).sum(axis=1)) + 0.5 * (xv**2).sum(axis=1)
+        g = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) / n
+        xg = x.by_term(g)
+        grads = [np.array([g.sum()]), xg + 1e-4 * w, np.stack([x.by_term(g * xv[:, f]) for f in range(factors)], axis=1) - xg[:, None] * v + 1e-4 * v if factors else v]
+        for k, d in enumerate(grads):
+            first[k] = 0.9 * first[k] + 0.1 * d
+            second[k] = 0.999 * second[k] + 0.001 * d * d
+            params[k] = params[k] - 0.05 * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.999**step)) + 1e-8)
+    return float(params[0][0]), params[1], params[2]
+
+
+def _alone(x: _Rows, y: np.ndarray) -> np.ndarray:
+    """Terms whose rows' share of label 1 differs from that of all rows."""
+    total, hits, p = x.by_term(np.ones(x.n)), x.by_term(y), y.mean()
+    chi = (hits - total * p) ** 2 / (total * p * (1 - p)) * x.n / np.maximum(x.n - total, 1)
+    # The chi-square (one degree) that a share LEVEL / terms of noise passes.
+    return chi >= NormalDist().inv_cdf(1 - LEVEL / (2 * max(1, len(x.terms)))) ** 2
+
+
+def _paired(x: _Rows, residual: np.ndarray, rng) -> np.ndarray:
+    """Terms whose rows, together with those of any partner, lean to one side of the residual."""
+    size = x.by_row(np.ones(len(x.terms)))
+    signs = rng.choice([-1.0, 1.0], (PROJECTIONS, len(x.terms)))
+    dealt = [residual] + [rng.permutation(residual) for _ in range(SHUFFLES)]
+    energy = np.zeros((len(dealt), len(x.terms)))
+    for s in signs:
+        sums = x.by_row(s)
+        for k, r in enumerate(dealt):
+            energy[k] += (x.by_term(r * sums) - s * x.by_term(r)) ** 2
+    energy /= np.maximum(x.by_term(size - 1), 1.0)
+    return energy[0] > energy[1:].max(initial=0.0)
+
+
 def fit(rows: list[np.ndarray], labels: np.ndarray, seed: int = 7, steps: int = 300) -> FactorizationMachine:
-    """Rows of distinct buckets and their labels; copies (the same four least terms) count once."""
-    seen, keep = set(), []
+    """Rows of distinct buckets and their labels; rows of equal buckets and label count once."""
+    first = {}
     for i, r in enumerate(rows):
-        key = (np.sort(r)[:4].tobytes(), int(labels[i])) if len(r) else (b"", int(labels[i]))
-        if key not in seen:
-            seen.add(key)
-            keep.append(i)
+        first.setdefault((np.sort(r).tobytes(), int(labels[i])), i)
+    keep = sorted(first.values())
     rows, y = [rows[i] for i in keep], labels[keep].astype(float)
     n, positive = len(y), y.sum()
     none = FactorizationMachine(np.empty(0, np.int64), float(np.log((positive + 1) / (n - positive + 1))), np.empty(0), np.empty((0, FACTORS)))
     if positive in (0, n):
         return none
-    joined = np.concatenate(rows)
-    terms, place = np.unique(joined, return_inverse=True)
-    owner = np.repeat(np.arange(n), [len(r) for r in rows])
-    total, hits = np.bincount(place), np.bincount(place, weights=y[owner])
-    p = positive / n
-    chi = (hits - total * p) ** 2 / (total * p * (1 - p)) * n / np.maximum(n - total, 1)
-    good = np.flatnonzero((chi >= CHI_SQUARE) & (total >= 5))
-    good = good[np.argsort(-chi[good], kind="stable")][:MOST_TERMS]
-    if not len(good):
+    x, rng = _Rows(rows), np.random.default_rng(seed)
+    x.keep(x.by_term(np.ones(n)) >= SUPPORT)
+    alone = _alone(x, y)
+    linear = _Rows(rows)
+    linear.keep(np.isin(linear.terms, x.terms[alone]))
+    bias, w, _ = _descend(linear, y, 0, rng, steps // 3)
+    residual = y - 1 / (1 + np.exp(-np.clip(bias + linear.by_row(w), -30, 30)))
+    x.keep(alone | _paired(x, residual, rng))
+    if not len(x.terms):
         return none
-    good.sort()
-    column = np.full(len(terms), -1)
-    column[good] = np.arange(len(good))
-    x = np.zeros((n, len(good)), np.float32)
-    inside = column[place] >= 0
-    x[owner[inside], column[place[inside]]] = 1.0
-    rng = np.random.default_rng(seed)
-    params = [np.array([np.log(p / (1 - p))]), np.zeros(len(good)), rng.normal(0, 0.05, (len(good), FACTORS))]
-    first, second = [np.zeros_like(q) for q in params], [np.zeros_like(q) for q in params]
-    for t in range(1, steps + 1):
-        b, w, v = params
-        xv = x @ v
-        z = b[0] + x @ w + 0.5 * ((xv**2).sum(axis=1) - (x @ (v**2)).sum(axis=1))
-        g = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) / n
-        xg = x.T @ g
-        grads = [np.array([g.sum()]), xg + 1e-4 * w, x.T @ (g[:, None] * xv) - xg[:, None] * v + 1e-4 * v]
-        for k, d in enumerate(grads):
-            first[k] = 0.9 * first[k] + 0.1 * d
-            second[k] = 0.999 * second[k] + 0.001 * d * d
-            params[k] = params[k] - 0.05 * (first[k] / (1 - 0.9**t)) / (np.sqrt(second[k] / (1 - 0.999**t)) + 1e-8)
-    return FactorizationMachine(terms[good], float(params[0][0]), params[1], params[2])
+    return FactorizationMachine(x.terms, *_descend(x, y, FACTORS, rng, steps))
 
 
-def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, seed: int = 3) -> FactorizationMachine:
-    """Learns from at most `rows` labelled documents; the held-out fold is never read."""
+def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, most_terms: int = TRAIN_TERMS, seed: int = 3) -> FactorizationMachine:
+    """Learns from at most `rows` labelled documents, in the order of their ids' hashes as long
+    as their terms are `most_terms` at most; the held-out fold is never read."""
 
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
-            terms = [np.unique(np.array([b for w in words(t) for b in word_terms(w)], "<i4")).tobytes() for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(terms, pa.binary())], ["label", "terms"])
-
-    sample = labelled(docs, labels, "toxic", MODULUS, HELD, rows, seed).select("label", "text")
-    got = sample.mapInArrow(run, "label int, terms binary").toArrow()
+            terms = [np.unique(np.array([b for w in words(t) for b in word_terms(w)], "<i4")) for t in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(t) for t in terms], pa.int32()), pa.array([t.tobytes() for t in terms], pa.binary())], ["place", "label", "size", "terms"])
+
+    sample = labelled(docs, labels, "toxic", MODULUS, HELD, rows, seed).select(F.xxhash64("doc_id", F.lit(seed)).alias("place"), "label", "text")
+    sample = durable(sample.mapInArrow(run, "place long, label int, size int, terms binary"))
+    sizes = sample.groupBy("place").agg(F.sum("size").alias("size")).orderBy("place").toArrow()
+    places = sizes.column("place").to_numpy()
+    fits = np.cumsum(sizes.column("size").to_numpy()) <= most_terms
+    if not fits.any():
+        return FactorizationMachine(np.empty(0, np.int64), 0.0, np.empty(0), np.empty((0, FACTORS)))
+    got = sample.where(F.col("place") <= int(places[fits][-1])).select("label", "terms").toArrow()
     y = got.column("label").to_numpy()
     x = [np.frombuffer(b.as_py(), "<i4").astype(np.int64) for b in got.column("terms")]
-    if not len(y):
-        return FactorizationMachine(np.empty(0, np.int64), 0.0, np.empty(0), np.empty((0, FACTORS)))
     order = sorted(range(len(y)), key=lambda i: (x[i].tobytes(), y[i]))
     return fit([x[i] for i in order], y[order])
 
@@ -149,8 +208,10 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, held_out, score, predicted) for every row.
 
     Null and empty texts have no terms and get the bias alone; without labelled rows every
-    score is 0.5, with one class alone it is that class's smoothed share. Repeated rows are
-    kept, rows with null doc_id are scored (held_out false); other columns are ignored."""
+    score is 0.5, with one class alone it is that class's smoothed share. A long text is read
+    whole. Of different labels for one id the greater counts. Repeated rows are kept, rows with
+    null doc_id are scored (held_out false); an empty table gives no rows; other columns are
+    ignored, clashing names too."""
     scored = score(docs, train(docs, labels))
     held = F.coalesce(remainder(F.col("doc_id"), MODULUS) == HELD, F.lit(False))
     return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
