@@ -1,8 +1,8 @@
 """Quality by regularised quadratic discriminant analysis over document statistics.
 
 Each class has a mean and a covariance shrunk towards its scaled identity; the score is the
-logistic of the difference of log densities and log priors. Mahalanobis distances are solved
-with Cholesky factors that are made once and kept with the model.
+logistic of the difference of log densities and log priors. Mahalanobis distances come by
+forward substitution in Cholesky factors that are made once and kept with the model.
 """
 
 from __future__ import annotations
@@ -53,12 +53,20 @@ class QuadraticDiscriminant:
         self.cholesky = [np.linalg.cholesky(c) for c in self.covariances]
         self.log_det = [2 * float(np.log(np.diag(c)).sum()) for c in self.cholesky]
 
+    @staticmethod
+    def _whitened(factor: np.ndarray, x: np.ndarray) -> np.ndarray:
+        """z with factor @ z = x, row by row of the lower triangle."""
+        z = np.empty_like(x)
+        for i, row in enumerate(factor):
+            z[i] = (x[i] - row[:i] @ z[:i]) / row[i]
+        return z
+
     def score(self, x: np.ndarray) -> np.ndarray:
         if len(self.means) < 2:
             return np.full(len(x), self.log_priors[0])
         density = []
         for mean, factor, log_det, prior in zip(self.means, self.cholesky, self.log_det, self.log_priors, strict=True):
-            z = np.linalg.solve(factor, (x - mean).T)
+            z = self._whitened(factor, (x - mean).T)
             density.append(prior - 0.5 * (log_det + (z * z).sum(axis=0)))
         return 1 / (1 + np.exp(-np.clip(density[1] - density[0], -30, 30)))
 
@@ -100,8 +108,10 @@ def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, held_out, score, predicted) for every row.
 
     Null and empty texts have the statistics of the empty text; with no labels, or one class
-    alone, every score is that class's smoothed share. Repeated rows are kept, rows with null
-    doc_id are scored (held_out false); other columns are ignored."""
+    alone, every score is that class's smoothed share. A long text is read whole. Of different
+    labels for one id the greater counts. Repeated rows are kept, rows with null doc_id are
+    scored (held_out false); an empty table gives no rows; other columns are ignored, clashing
+    names too."""
     model = train(docs, labels)
 
     def run(batches):
