@@ -1,7 +1,9 @@
 import hashlib
 import re
+import time
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -68,3 +70,47 @@ def test_documents_against_brute_force(spark):
     got = {r.doc_id: r.base_sha256 for r in pii.digests(spark.read.parquet(path)).collect()}
     for d, t in duckdb.sql(f"select doc_id, text from '{path}'").fetchall():
         assert got[d] == hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, a, b in brute(t)).encode()).hexdigest()
+
+
+def test_long_secrets_go_whole(spark):
+    secret, key = "aB3$" * 250, "AKIA" + "Q7" * 60
+    texts = [f"password={secret} end", f"see {key}.", "token=me@x.org#rest, done", f"pwd: {'x' * 300}", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.text for r in pii.redact(df).collect()}
+    assert got == {0: "<secret> end", 1: "see <key>.", 2: "<secret>, done", 3: "<secret>", 4: ""}
+
+
+def test_many_spans_in_one_document(spark):
+    text = " ".join(f"u{i}@host.org 10.0.{i % 256}.7" for i in range(30_000))
+    t = time.time()
+    row = rows(spark, [text])[0]
+    assert (row.n_email, row.n_ip) == (30_000, 30_000) and time.time() - t < 60
+    assert row.base_sha256 == hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, a, b in brute(text)).encode()).hexdigest()
+
+
+def test_trees_tell_unseen_examples_apart(spark):
+    """Other draws of the templates, and templates that the trees have not seen."""
+    bias, trees, threshold = pii._model(spark.sparkContext.applicationId)
+
+    def picked(x, bias, trees, threshold):
+        return np.array([bias + sum(pii._leaf(t, r) for t in trees) >= threshold for r in x])
+
+    x, y, template = pii.example_features(spark, pii._examples(900, seed=5))
+    hit = picked(x, bias, trees, threshold)
+    assert (hit & (y == 1)).sum() / (y == 1).sum() > 0.9 and (hit & (y == 1)).sum() / hit.sum() > 0.97
+    right = []
+    for left_out in ([1, 5, 14], [3, 8, 11], [6, 9, 16]):
+        unseen = np.isin(template, left_out)
+        right.append((picked(x[unseen], *pii._boost(x[~unseen], y[~unseen]), threshold) == (y[unseen] == 1)).mean())
+    assert np.mean(right) > 0.8, right
+
+
+def test_planted_secrets_of_the_documents(spark):
+    path = "/root/testdata/sf0.01/documents.parquet"
+    got = {r.doc_id: r.spans for r in pii.digests(spark.read.parquet(path)).collect()}
+    planted = found = 0
+    for d, t in duckdb.sql(f"select doc_id, text from '{path}'").fetchall():
+        for m in re.finditer(r'token = "[0-9a-f]{40}|password=[0-9a-f]{12,}|AKIA[0-9A-Z]{16}', t or ""):
+            planted += 1
+            found += any(int(s.split(":")[1]) <= m.start() and int(s.split(":")[2]) >= m.end() for s in got[d].split(",") if s)
+    assert planted > 0 and found == planted
