@@ -13,9 +13,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessella.llm.common import durable
+
 SEED = 17
-#: Sources whose rates may be broadcast; with more, rates are joined by a shuffle.
-BROADCAST_SOURCES = 10_000
+#: Bytes of rate tables that may be broadcast. Beyond, the tables of sources that hold over one
+#: row in HOT are (there are fewer than HOT of those, of 7 KB at most), and the rest is shuffled.
+BROADCAST_BYTES = 16 << 20
+HOT = 500
 #: Rates up to this have their distribution function as a table for the source.
 TABLE_RATE = 500.0
 #: Copies exploded at once, so that no array grows with the rate.
@@ -64,11 +68,11 @@ def window_count(rate: str, mass: str, u: str) -> Column:
 
 
 def rates(docs: DataFrame, weights: dict[str, float] | None = None, size: float | None = None) -> tuple[DataFrame, int]:
-    """((_mix_source, n, rate), number of sources): mean repetition of each source; `weights` None: all sources alike.
+    """((_mix_source, n, rate), number of documents): mean repetition of each source; `weights` None: all sources alike.
 
     A source that has no weight gets none of the mix; a weight without documents is left out
     and its share goes to the others. `size` None: as many documents as there are."""
-    counts = docs.groupBy(F.col("source").alias("_mix_source")).agg(F.count("*").alias("n"))
+    counts = durable(docs.groupBy(F.col("source").alias("_mix_source")).agg(F.count("*").alias("n")))
     if weights is None:
         weight = F.lit(1.0)
     else:
@@ -76,25 +80,31 @@ def rates(docs: DataFrame, weights: dict[str, float] | None = None, size: float
         for name, w in weights.items():
             weight = F.when(F.col("_mix_source") == name, F.lit(float(w))).otherwise(weight)
     counts = counts.withColumn("weight", weight)
-    facts = counts.agg(F.coalesce(F.sum("weight"), F.lit(0.0)).alias("weights"), F.coalesce(F.sum("n"), F.lit(0)).alias("total"), F.count("*").alias("sources")).first()
+    facts = counts.agg(F.coalesce(F.sum("weight"), F.lit(0.0)).alias("weights"), F.coalesce(F.sum("n"), F.lit(0)).alias("total")).first()
     target = float(facts.total) if size is None else float(size)
     rate = F.col("weight") * F.lit(target) / F.lit(facts.weights) / F.col("n") if facts.weights > 0 else F.lit(0.0)
-    return counts.select("_mix_source", "n", rate.alias("rate")), facts.sources
+    return counts.select("_mix_source", "n", rate.alias("rate")), facts.total
 
 
 def mix(docs: DataFrame, weights: dict[str, float] | None = None, size: float | None = None, seed: int = SEED) -> DataFrame:
     """The columns of `docs` with copy (1, 2, ...), n_copies, rate and shuffle_key, in its order.
 
     Null source is a source of its own that named weights do not reach; null and empty texts
-    count like others; rows with equal doc_id get equal counts and keys; an empty table gives
-    none. Columns of the added names are replaced. copy and n_copies are longs."""
+    count like others, a long text is carried whole; rows with equal doc_id (null too) share
+    one draw: equal counts and keys; an empty table gives none. Columns of the added names are
+    replaced. copy and n_copies are longs."""
     docs = docs.drop("copy", "n_copies", "rate", "shuffle_key", "_mix_source")
-    rate, sources = rates(docs, weights, size)
+    rate, total = rates(docs, weights, size)
     low = F.col("rate") <= TABLE_RATE
-    table = rate.select("_mix_source", "rate", F.when(low, poisson_cdf("rate")).alias("_mix_cdf"), F.when(~low, window_mass("rate")).alias("_mix_mass"))
-    if sources <= BROADCAST_SOURCES:
-        table = F.broadcast(table)
-    placed = docs.join(table, F.col("source").eqNullSafe(F.col("_mix_source"))).withColumn("_mix_u", uniform(seed, "doc_id"))
+    table = rate.select("_mix_source", "n", "rate", F.when(low, poisson_cdf("rate")).alias("_mix_cdf"), F.when(~low, window_mass("rate")).alias("_mix_mass"))
+    same = F.col("source").eqNullSafe(F.col("_mix_source"))
+    size_of = F.coalesce(F.octet_length("_mix_source"), F.lit(0)) + 64 + F.when(low, 8 * (F.col("rate") + 12 * F.sqrt("rate") + 22)).otherwise(0)
+    if rate.agg(F.coalesce(F.sum(size_of), F.lit(0.0))).first()[0] <= BROADCAST_BYTES:
+        placed = docs.join(F.broadcast(table.drop("n")), same)
+    else:
+        hot, rest = table.where(F.col("n") * HOT > total).drop("n"), table.where(F.col("n") * HOT <= total).drop("n")
+        placed = docs.join(F.broadcast(hot), same).unionByName(docs.join(F.broadcast(hot.select("_mix_source")), same, "left_anti").join(rest, same))
+    placed = placed.withColumn("_mix_u", uniform(seed, "doc_id"))
     count = F.when(low, F.expr("size(filter(_mix_cdf, c -> c <= _mix_u))")).otherwise(window_count("rate", "_mix_mass", "_mix_u"))
     placed = placed.withColumn("n_copies", count.cast("long")).where("n_copies > 0").drop("_mix_cdf", "_mix_mass", "_mix_u", "_mix_source")
     blocks = placed.withColumn("_mix_block", F.explode(F.expr(f"sequence(0L, (n_copies - 1) div {BLOCK})")))
@@ -107,8 +117,8 @@ WITH s AS (SELECT source, count(*) AS n FROM documents GROUP BY 1),
 t AS (SELECT count(*) AS sources, sum(n) AS total FROM s),
 r AS (SELECT source, 1.0::DOUBLE * total::DOUBLE / sources::DOUBLE / n::DOUBLE AS rate FROM s, t),
 p AS (SELECT source, k, sum(exp(-rate + k * ln(rate) - lgamma(k + 1))) OVER (PARTITION BY source ORDER BY k) AS cdf FROM r, range(0, 60) g(k)),
-d AS (SELECT doc_id, source, CAST('0x' || substr(md5('{SEED}:' || doc_id), 1, 13) AS UBIGINT)::DOUBLE / {1 << 52}.0::DOUBLE AS u FROM documents),
-c AS (SELECT doc_id, d.source, CAST(count(*) FILTER (WHERE cdf <= u) AS INTEGER) AS n_copies FROM d JOIN p ON d.source = p.source GROUP BY 1, 2),
-e AS (SELECT doc_id, source, n_copies, CAST(unnest(range(1, n_copies + 1)) AS INTEGER) AS copy FROM c)
-SELECT doc_id, source, copy, n_copies, md5('{SEED}:' || doc_id || ':' || copy) AS shuffle_key FROM e
+d AS (SELECT doc_id, source, text, CAST('0x' || substr(md5('{SEED}:' || doc_id), 1, 13) AS UBIGINT)::DOUBLE / {1 << 52}.0::DOUBLE AS u FROM documents),
+c AS (SELECT doc_id, d.source, text, CAST(count(*) FILTER (WHERE cdf <= u) AS INTEGER) AS n_copies FROM d JOIN p ON d.source = p.source GROUP BY ALL),
+e AS (SELECT doc_id, source, text, n_copies, CAST(unnest(range(1, n_copies + 1)) AS INTEGER) AS copy FROM c)
+SELECT doc_id, source, text, copy, n_copies, md5('{SEED}:' || doc_id || ':' || copy) AS shuffle_key FROM e
 """

@@ -43,7 +43,7 @@ def op7_license_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_poisson_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(table(spark, sf_dir, "documents")).selectExpr("doc_id", "source", "cast(copy as int) copy", "cast(n_copies as int) n_copies", "shuffle_key")
+    return mixing.mix(table(spark, sf_dir, "documents")).selectExpr("doc_id", "source", "text", "cast(copy as int) copy", "cast(n_copies as int) n_copies", "shuffle_key")
 
 
 def op9_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -33,3 +33,12 @@ def test_one_row_source_beside_a_large_one(spark):
     df = spark.range(40_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") > 0, "big").alias("source"))
     got = {r.source: r.n for r in mixing.mix(df).groupBy("source").agg(F.count("*").alias("n")).collect()}
     assert got[None] == quantile(20_000.0, u_of(0)) and abs(got["big"] - 20_000) < 700
+
+
+def test_many_sources_without_a_broadcast(spark, monkeypatch):
+    rows = [(i, "big" if i % 2 else f"s{i % 50}" if i % 100 else None, "text") for i in range(4_000)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    want = sorted(map(str, mixing.mix(df).collect()))
+    monkeypatch.setattr(mixing, "BROADCAST_BYTES", 0)
+    monkeypatch.setattr(mixing, "HOT", 4)
+    assert sorted(map(str, mixing.mix(df).collect())) == want
