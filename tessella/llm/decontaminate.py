@@ -1,8 +1,8 @@
 """Benchmark decontamination: size-partitioned MinHash containment search, then an exact check.
 
-A document of n distinct shingles gets the partition p = ceil(log2 n) and a one-permutation
+A document of n distinct shingles gets the partition p = 1 + ceil(log2 n) and a one-permutation
 MinHash of 2^p bins: the top p bits of a shingle's hash are its bin, a bin's least hash is
-kept. A shingle of a long document thus is its bin's minimum with probability 0.63 or more
+kept. A shingle of a long document thus is its bin's minimum with probability 0.78 or more
 however long the document, so a short item inside it meets the item's own sketch of the same
 partition in most of its bins; a document and an item that meet in one bin are candidates.
 Items under EIGHT shingles use bins so fine that nothing is lost. Candidates are verified by
@@ -20,10 +20,12 @@ SHINGLE = 5
 THRESHOLD = 0.8
 EIGHT = 8
 FINE = 62
-#: Documents of up to 2^40 distinct shingles have a partition.
+#: Documents of up to 2^39 distinct shingles have a partition.
 MOST_P = 40
-#: Item sketch rows that may be broadcast (24 bytes each); beyond, both sides are shuffled.
+#: Item sketch rows (24 bytes each) and bytes of item shingles that may be broadcast; beyond,
+#: both sides are shuffled.
 BROADCAST_ROWS = 2_000_000
+BROADCAST_BYTES = 64 << 20
 
 
 def words(text: Column) -> Column:
@@ -71,7 +73,7 @@ def _doc_sketch(text: Column, k: int, coarse: bool, fine: bool) -> Column:
     def of(h):
         parts = []
         if coarse:
-            size_p = F.greatest(F.lit(1), F.ceil(F.log2(F.greatest(F.size(h), F.lit(1)).cast("double")))).cast("int")
+            size_p = (F.ceil(F.log2(F.greatest(F.size(h), F.lit(1)).cast("double"))) + 1).cast("int")
             parts.append(_let(size_p, lambda p: _bin_minima(h, p)))
         if fine:
             parts.append(_bin_minima(h, F.lit(FINE)))
@@ -83,16 +85,16 @@ def _doc_sketch(text: Column, k: int, coarse: bool, fine: bool) -> Column:
 def contained_items(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, k: int = SHINGLE) -> DataFrame:
     """(doc_id, item_id, n_shingles, n_common, containment) for every pair at `threshold` or more.
 
-    Null, empty and wordless texts match nothing; an item of fewer than `k` words matches a
-    document of the same words alone. Rows with equal id count as one document (of the
+    Null, empty and wordless texts match nothing; a long text is searched whole; an item of
+    fewer than `k` words matches a document of the same words alone. Rows with equal id count as one document (of the
     shingles of all); null ids are carried as they are. Empty tables give no rows; columns
     other than the id and text are ignored."""
     thin = docs.selectExpr("doc_id", "text")
     item = items.selectExpr("item_id", "text")
-    hashed = item.select("item_id", _hashes(F.col("text"), k).alias("hashes"))
+    hashed = item.select("item_id", "text", _hashes(F.col("text"), k).alias("hashes"))
     size = F.size("hashes")
     weight = F.sum(F.when(size < EIGHT, size).otherwise(size * MOST_P))
-    facts = hashed.agg(F.coalesce(weight, F.lit(0)).alias("n"), F.max((size > 0) & (size < EIGHT)).alias("fine"), F.max(size >= EIGHT).alias("coarse")).first()
+    facts = hashed.agg(F.coalesce(weight, F.lit(0)).alias("n"), F.max((size > 0) & (size < EIGHT)).alias("fine"), F.max(size >= EIGHT).alias("coarse"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")).first()
     spread = hashed.select("item_id", "hashes", F.explode(F.when(size < EIGHT, F.array(F.lit(FINE))).otherwise(F.sequence(F.lit(1), F.lit(MOST_P)))).alias("p"))
     item_sketch = spread.select("item_id", F.explode_outer(_bin_minima(F.col("hashes"), F.col("p"))).alias("s")).where("s is not null").select("item_id", "s.p", "s.h")
     if facts.n <= BROADCAST_ROWS:
@@ -104,8 +106,15 @@ def contained_items(docs: DataFrame, items: DataFrame, threshold: float = THRESH
     item_shingles = item.select("item_id", _shingles(F.col("text"), k).alias("s")).select(F.col("item_id").alias("of_item"), F.size("s").alias("n_shingles"), F.explode_outer("s").alias("want"))
     found = thin.join(ids_side(candidates.select(F.col("doc_id").alias("c"))), F.expr("doc_id <=> c"), "left_semi")
     found = found.select("doc_id", F.explode_outer(_shingles(F.col("text"), k)).alias("shingle"))
-    wanted = candidates.join(item_shingles, F.expr("item_id <=> of_item")).select(F.col("doc_id").alias("want_doc"), "item_id", "n_shingles", "want")
-    common = found.join(wanted, F.expr("doc_id <=> want_doc and shingle = want"))
+    if facts.bytes * k <= BROADCAST_BYTES:
+        # A candidate's shingles meet those of all items where they are made; few are left to shuffle.
+        met = found.join(F.broadcast(item_shingles.withColumnRenamed("of_item", "item_id")), F.expr("shingle = want"))
+        sought = F.broadcast if candidates.count() <= BROADCAST_ROWS else lambda df: df
+        mine = candidates.select(F.col("doc_id").alias("c_doc"), F.col("item_id").alias("c_item"))
+        common = met.join(sought(mine), F.expr("doc_id <=> c_doc and item_id <=> c_item"), "left_semi")
+    else:
+        wanted = candidates.join(item_shingles, F.expr("item_id <=> of_item")).select(F.col("doc_id").alias("want_doc"), "item_id", "n_shingles", "want")
+        common = found.join(wanted, F.expr("doc_id <=> want_doc and shingle = want"))
     common = common.select("doc_id", "item_id", "n_shingles", "shingle").distinct()
     best = common.groupBy("doc_id", "item_id", "n_shingles").agg(F.count("*").alias("n_common"))
     out = best.select("doc_id", "item_id", F.col("n_shingles").cast("long").alias("n_shingles"), "n_common", (F.col("n_common") / F.col("n_shingles")).alias("containment"))
