@@ -125,6 +125,8 @@ def _block(data: bytes, at: int, end: int, base: int, media: Media) -> None:
         else:
             sizes = [(end - at) // (n + 1)] * n
     sizes.append(end - at - sum(sizes))
+    if min(sizes) < 0:
+        raise ValueError(f"the frames of the block that ends at {end} are longer than it")
     when = base + relative
     for size in sizes:
         media.packets.append((track, when, at, size))
@@ -132,7 +134,17 @@ def _block(data: bytes, at: int, end: int, base: int, media: Media) -> None:
 
 
 def parse(data: bytes) -> Media:
-    media, state = Media(), {"segment": 0, "base": 0, "number": 0, "cue": [0, 0]}
+    """The packets, clusters and cues of a file; a cue without a cluster's place is left out.
+
+    ValueError says that the file is damaged, and where."""
+    try:
+        return _parse(data)
+    except (IndexError, struct.error) as e:
+        raise ValueError(f"the file ends inside a block: {e}") from e
+
+
+def _parse(data: bytes) -> Media:
+    media, state = Media(), {"segment": 0, "base": 0, "number": 0, "cue": [0, 0], "cluster": None}
 
     def walk(at: int, end: int, inside: int) -> int:
         while at < end:
@@ -151,7 +163,9 @@ def parse(data: bytes) -> Media:
             if name in MASTERS:
                 at = walk(at, stop, name if size is None or name != CLUSTER else 0)
                 if name == CUE_POSITIONS:
-                    media.cues.append((state["cue"][0], state["cue"][1], state["cluster"] + state["segment"]))
+                    if state["cluster"] is not None:
+                        media.cues.append((*state["cue"], state["cluster"] + state["segment"]))
+                    state["cue"][1], state["cluster"] = 0, None
                 continue
             body = data[at:stop] if name not in (SIMPLE_BLOCK, BLOCK) else b""
             number = int.from_bytes(body[:8], "big")
@@ -207,26 +221,33 @@ def media_column(docs: DataFrame) -> DataFrame:
 
 
 def packet_table(media: DataFrame) -> DataFrame:
-    """(doc_id, packet, track, timestamp, offset, size) of every packet of a media column."""
+    """(doc_id, packet, track, timestamp, offset, size, error) of every packet of a media column.
+
+    Null and empty media have no row; a damaged file has one, with nulls and what is wrong."""
 
     def run(batches):
         import pyarrow as pa
 
-        names = ["doc_id", "packet", "track", "timestamp", "offset", "size"]
+        names = ["doc_id", "packet", "track", "timestamp", "offset", "size", "error"]
         for batch in batches:
             for doc_id, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                rows = [(doc_id, k, *p) for k, p in enumerate(parse(data).packets)] if data else []
+                try:
+                    rows = [(doc_id, k, *p, None) for k, p in enumerate(parse(data).packets)] if data else []
+                except ValueError as e:
+                    rows = [(doc_id, None, None, None, None, None, str(e))]
                 if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names)
+                    kinds = [pa.int64()] * 6 + [pa.string()]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
-    return media.select("doc_id", "media").mapInArrow(run, "doc_id long, packet long, track long, timestamp long, offset long, size long")
+    return media.select("doc_id", "media").mapInArrow(run, "doc_id long, packet long, track long, timestamp long, offset long, size long, error string")
 
 
 def media_digests(docs: DataFrame) -> DataFrame:
     """Stores every whole text, reads the stored bytes back and returns what was read.
 
-    Null text is empty (64 zero bytes); repeated rows are kept and give equal values; an empty
-    table gives no rows; columns other than doc_id and text are ignored."""
+    Null text is empty (64 zero bytes); a long text is stored whole, in one task's memory;
+    repeated rows are kept and give equal values; an empty table gives no rows; columns other
+    than doc_id and text are ignored, clashing names too."""
 
     def run(batches):
         import pyarrow as pa

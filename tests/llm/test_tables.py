@@ -57,6 +57,25 @@ def test_containment_against_brute_force(spark):
     assert decontaminate.contained_items(df.limit(0), it).count() == 0 == decontaminate.contained_items(df, it.limit(0)).count()
 
 
+def test_containment_recall_on_planted_passages(spark):
+    """2,000 items of 8 to 60 shingles, four fifths of each inside a document of up to 20,000 words."""
+    rng = random.Random(6)
+    vocabulary = [f"w{i}" for i in range(20_000)]
+    items, docs, planted = [], [], set()
+    for i in range(2_000):
+        words = rng.choices(vocabulary, k=rng.randint(12, 64))
+        n = len(words) - 4
+        cut = words[: -(-4 * n // 5) + 4]
+        body = rng.choices(vocabulary, k=rng.choice([0, 20, 200, 2_000] + [20_000] * (i % 20 == 0)))
+        at = rng.randrange(len(body) + 1)
+        items.append((i, " ".join(words)))
+        docs.append((i, " ".join(body[:at] + cut + body[at:])))
+        planted.add((i, i))
+    got = decontaminate.contained_items(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    found = {(r.doc_id, r.item_id) for r in got.collect()}
+    assert len(found & planted) / len(planted) >= 0.999 and found <= planted
+
+
 def test_mixing_meets_its_targets(spark):
     rows = [(i, f"t{i}", "big" if i % 10 < 7 else "small" if i % 10 < 9 else None) for i in range(6000)]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("copy", F.lit("clash")).withColumn("cdf", F.lit(1))
@@ -98,6 +117,12 @@ def test_matroska_column(spark):
     with pytest.raises(ValueError):
         matroska.parse(data[:-5])
     assert matroska.media_digests(df.limit(0)).count() == 0
+    damaged = spark.createDataFrame([(1, bytearray(data[:-5])), (2, bytearray(data)), (3, None), (4, bytearray(b"\x00junk"))], "doc_id long, media binary")
+    got = {r.doc_id: r for r in matroska.packet_table(damaged).collect()}
+    assert got.keys() == {1, 2, 4} and got[1].error and got[4].error and got[1].packet is None and got[2].error is None
+    positions = matroska.element(matroska.CUE_POSITIONS, matroska.uint(matroska.CUE_TRACK, 1))
+    cues = matroska.element(matroska.CUES, matroska.element(matroska.CUE_POINT, matroska.uint(matroska.CUE_TIME, 5) + positions))
+    assert matroska.parse(matroska.element(matroska.SEGMENT, cues)).cues == []
 
 
 def test_pipeline_against_plain_steps(spark):
