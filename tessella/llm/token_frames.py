@@ -27,6 +27,10 @@ SKIPPABLE_MAGIC = 0x184D2A5E
 SEEKABLE_MAGIC = 0x8F92EAB1
 CHECKSUM_FLAG = 0x80
 _CACHE_WORDS = 120_000
+#: A shard holds about so many bytes of text and rows at most: its seek table and ids are in memory.
+SHARD_BYTES, SHARD_ROWS = 256 << 20, 1 << 20
+#: Rows of one batch of the reader.
+READ_ROWS = 8_192
 
 
 class FrameWriter:
@@ -99,10 +103,24 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) if b in shown else chr(256 + hidden.index(b)) for b in range(256)}
 
 
+# What the tokenizer file must say for pieces to be encoded on their own.
+_NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
+_SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+
+
+def _by_pieces(config: dict) -> bool:
+    """Whether the normaliser and the splitter of a tokenizer are those that the shortcuts know."""
+    normal, split = config.get("normalizer") or {}, (config.get("pre_tokenizer") or {}).get("pretokenizers") or [{}, {}]
+    patterns = split[0].get("pattern") == {"Regex": _SPLIT} and split[0].get("invert") is True and split[0].get("behavior") == "Removed"
+    letters = split[-1].get("type") == "ByteLevel" and not split[-1].get("add_prefix_space") and not split[-1].get("use_regex")
+    return normal.get("normalizers") == _NORMALIZERS and len(split) == 2 and patterns and letters and not config.get("post_processor")
+
+
 @cache
 def make_encoder(tokenizer_path: str):
-    """Texts -> ids as bytes. White space never lies inside a token, so each distinct
-    blank-separated piece is encoded once and a bounded cache serves the repeats. A piece of
+    """Texts -> ids as bytes. A tokenizer of another normaliser or splitter than the shortcuts
+    know takes the library's whole way for every text. In this one white space never lies
+    inside a token, so each distinct blank-separated piece is encoded once and a bounded cache serves the repeats. A piece of
     precomposed Latin letters and closing marks goes straight to the library's model, as its
     normaliser and splitter do nothing there but lower the letters and part the marks; any
     other piece takes the library's whole way. A worker's tasks share one encoder."""
@@ -112,6 +130,7 @@ def make_encoder(tokenizer_path: str):
     from tokenizers import Tokenizer
 
     tk = Tokenizer.from_file(tokenizer_path)
+    by_pieces = _by_pieces(json.loads(tk.to_str()))
     tokenize, letters = tk.model.tokenize, _byte_letters()
     cores, marks = {}, ".,!?;:*&%$#)|"
     end = struct.pack("<I", END_ID)
@@ -151,6 +170,8 @@ def make_encoder(tokenizer_path: str):
     get = pieces.__getitem__
 
     def encode(texts: list[str | None]) -> list[bytes]:
+        if not by_pieces:
+            return [packed(tk.encode(t or "", add_special_tokens=False).ids) + end for t in texts]
         out = []
         for t in texts:
             out.append(b"".join(map(get, (t or "").replace("\n", " ").split(" "))) + end)
@@ -177,17 +198,30 @@ def _pieces(batch, most_chars: int = 1_000_000):
         yield ids[a:], texts[a:]
 
 
-def write_token_frames(docs: DataFrame, folder: str, tokenizer_path: str, shards: int | None = None) -> DataFrame:
+def _in_order(docs: DataFrame, shards: int | None) -> DataFrame:
+    """The documents by doc_id in as many ranges as their bytes and rows ask for.
+
+    The head of the text and a hash, which follow doc_id in the order, part rows of one id."""
+    keyed = docs.select("doc_id", "text", F.substring("text", 1, 64).alias("_head"), F.xxhash64("text").alias("_text_hash"))
+    if shards is None:
+        size, rows = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count("*")).first()
+        shards = max(shuffle_partitions(docs.sparkSession), -(-size // SHARD_BYTES), -(-rows // SHARD_ROWS))
+    return keyed.repartitionByRange(shards, "doc_id", "_head", "_text_hash").sortWithinPartitions("doc_id", "_head", "_text_hash", "text").select("doc_id", "text")
+
+
+def write_token_frames(docs: DataFrame, folder: str, tokenizer_path: str, shards: int | None = None, as_they_come: bool = False) -> DataFrame:
     """Write the documents in ascending doc_id order as shard files under `folder`.
 
+    With `as_they_come` the partitions of `docs` are the shards and their order stays, so that
+    a mix that was shuffled and written needs no second sort.
+
     Returns the manifest (shard, path, n_docs, n_tokens, size), held durably: it is the commit.
     Each attempt writes a file of its own, so a retried task cannot harm what a manifest names.
-    Null text is empty; null doc_id comes first; rows with equal doc_id follow their text; an
-    empty table gives no shard. Columns other than doc_id and text are ignored.
+    Null text is empty; a long text is one frame; null doc_id comes first; rows with equal
+    doc_id follow the first 64 characters of their text, then its hash; an empty table gives
+    no shard. Columns other than doc_id and text are ignored.
     """
-    spark = docs.sparkSession
-    n = shards or shuffle_partitions(spark)
-    ordered = docs.select("doc_id", "text").repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
+    ordered = docs.select("doc_id", "text") if as_they_come else _in_order(docs, shards)
 
     def write(batches):
         import uuid
@@ -235,12 +269,14 @@ def read_token_frames(manifest: DataFrame) -> DataFrame:
                     for k, (doc_id, raw) in enumerate(FrameReader(src, row["size"]).documents()):
                         rows.append((doc_id, at, len(raw) // 4, zlib.crc32(raw), row["shard"], k))
                         at += len(raw) // 4
-                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names)
+                        if len(rows) == READ_ROWS or k + 1 == row["n_docs"]:
+                            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names)
+                            rows = []
 
     return placed.mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long, shard long, frame long")
 
 
-def token_frames(docs: DataFrame, tokenizer_path: str) -> DataFrame:
+def token_frames(docs: DataFrame, tokenizer_path: str, as_they_come: bool = False) -> DataFrame:
     """Write `docs` to the shared folder and read the files back."""
     folder = shared_folder(docs.sparkSession, "token-frames")
-    return read_token_frames(write_token_frames(docs, folder, tokenizer_path))
+    return read_token_frames(write_token_frames(docs, folder, tokenizer_path, as_they_come=as_they_come))

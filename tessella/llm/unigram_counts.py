@@ -72,7 +72,8 @@ def pre_tokens(text: str | None) -> list[str]:
 def token_counts(docs: DataFrame, model_path: str) -> DataFrame:
     """doc_id, n_pretokens, n_tokens for every row.
 
-    Null or blank text counts 0; repeated rows are kept; other columns are ignored. One pass
+    Null or blank text counts 0; a long text is read whole; repeated rows are kept; an empty
+    table gives no rows; other columns are ignored, clashing names too. One pass
     over the input without a shuffle; each worker keeps a bounded table of terminal counts."""
 
     def run(batches):

@@ -74,3 +74,25 @@ def test_trie_counts_equal_a_plain_program(spark):
     rows = {(r.doc_id, r.n_pretokens, r.n_tokens) for r in unigram_counts.token_counts(frame(spark), UNIGRAM).collect()}
     assert rows == {(d, len((t or "").split()), sum(brute_tokens("▁" + w, pieces, counter.byte_score) for w in ((t or "").split() if d != 9 else [])) if d != 9 else 20_000 * counter.counts(["▁word"])["▁word"]) for d, t in TEXTS}
     assert unigram_counts.token_counts(frame(spark).limit(0), UNIGRAM).count() == 0
+
+
+def test_shards_follow_size_and_part_equal_ids(spark, monkeypatch):
+    df = spark.createDataFrame([(7, f"t {i} " + "x" * 2_000) for i in range(300)], "doc_id long, text string")
+    monkeypatch.setattr(token_frames, "SHARD_BYTES", 60_000)
+    manifest = token_frames.write_token_frames(df, shared_folder(spark, "t"), BPE)
+    assert manifest.count() >= 8 and manifest.selectExpr("max(n_docs)").first()[0] < 100
+    assert token_frames.read_token_frames(manifest).count() == 300
+
+
+def test_rows_as_they_come_keep_their_order(spark):
+    texts = ["b", "a", None, "c c"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").coalesce(1).orderBy(F.desc("doc_id")).coalesce(1)
+    got = token_frames.token_frames(df, BPE, as_they_come=True).orderBy("start").collect()
+    assert [r.doc_id for r in got] == [3, 2, 1, 0] and len({r.shard for r in got}) == 1
+
+
+def test_another_tokenizer_takes_the_whole_way():
+    other = public_tokenizers.path("byte_bpe_50k.json")
+    texts = ["Two  blanks\n and Case", None]
+    tk = Tokenizer.from_file(other)
+    assert token_frames.make_encoder(other)(texts) == [np.array(tk.encode(t or "", add_special_tokens=False).ids + [1], "<u4").tobytes() for t in texts]
