@@ -1,6 +1,6 @@
 """The corpus pipeline: toxicity, near-duplicates, decontamination, mixing, token output.
 
-The first three stages decide by row, never by id: null ids and rows that share an id are
+It belongs to tessella.llm and goes with it. The first three stages decide by row, never by id: null ids and rows that share an id are
 documents of their own.
 """
 
@@ -39,13 +39,16 @@ def _without(keyed: DataFrame, rows: DataFrame) -> DataFrame:
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The rows whose score is under the threshold; null and empty texts have the bias alone and
+    stay unless nearly all labels are 1. Without labels every row stays."""
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
     keyed = _keyed(spark, docs)
     return _without(keyed, toxicity.score(_rows(keyed), model).where(F.col("score") >= toxicity.THRESHOLD))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group one row stays, that of least id; a null id only where its group has no other."""
+    """Of each group one row stays, that of least id; a null id only where its group has no other.
+    Of rows of one id the first stored stays. Null and empty texts are one group."""
     keyed = _keyed(spark, docs)
     near = durable(simhash.near_duplicates(_rows(keyed)).where("doc_id <> component_id").select("doc_id", "component_id"))
     members = near.unionByName(near.select(F.col("component_id").alias("doc_id"), "component_id").distinct())
@@ -58,19 +61,24 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The rows that hold no item of the benchmark; null and empty texts hold none."""
     keyed = _keyed(spark, docs)
     return _without(keyed, decontaminate.contained_items(_rows(keyed), table(spark, sf_dir, "benchmark")))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Whole rows, each as often as its draw says, in the order of the global shuffle; a null
+    source is one of its own, rows of one id (null too) share their draw."""
     rows = docs.select("doc_id", "source", F.struct(*docs.columns).alias("_row"))
     return mixing.mix(rows).select("_row.*")
 
 
 def tokenized(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token files in the order the mix was stored in: no sort by id brings copies together again.
+    A null text has the end id alone."""
     import public_tokenizers
 
-    return token_frames.token_frames(docs, public_tokenizers.path(TOKENIZER))
+    return token_frames.token_frames(docs, public_tokenizers.path(TOKENIZER), as_they_come=True)
 
 
 STAGES = [
@@ -86,6 +94,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the whole of documents. Long texts are taken whole, extra columns are
+    carried along whatever their names, an empty table gives no rows."""
     ship(spark)
     docs = table(spark, sf_dir, "documents")
     for i, (name, stage) in enumerate(STAGES):
