@@ -56,22 +56,30 @@ JOIN heat c ON c.image_id = f.image_id AND c.y = least(y0 + 1, 30) AND c.x = x0
 
 @query("p8_resize_bilinear", f"WITH {C.HEAT_SQL}, {_RESIZE}")
 def p8(s, d):
-    return packed.filtered_cells(C.packed(C.heat(s, d)), lambda a: kernels.resize(a, (16, 12)))
+    return packed.filtered_cells(C.heat_packed(s, d), lambda a: kernels.resize(a, (16, 12)))
 
 
-@query("p7_rotate")
+_ROTATE = """t AS (SELECT cos(radians(7.5::DOUBLE)) AS c, sin(radians(7.5::DOUBLE)) AS s),
+g AS (SELECT image_id, y, x, 11.5 + c * (x - 11.5) + s * (y - 15) AS sx, 15 - s * (x - 11.5) + c * (y - 15) AS sy FROM heat, t),
+f AS (SELECT *, CAST(least(greatest(floor(sy), 0), 30) AS INTEGER) AS y0, CAST(least(greatest(floor(sx), 0), 23) AS INTEGER) AS x0 FROM g WHERE sx >= 0 AND sy >= 0 AND sx <= 23 AND sy <= 30)
+SELECT g.image_id, g.y, g.x, CAST(coalesce(round_even((a.v * (1 - (f.sx - x0)) + b.v * (f.sx - x0)) * (1 - (f.sy - y0)) + (k.v * (1 - (f.sx - x0)) + e.v * (f.sx - x0)) * (f.sy - y0), 0), 255) AS INTEGER) AS v
+FROM g LEFT JOIN f ON f.image_id = g.image_id AND f.y = g.y AND f.x = g.x LEFT JOIN heat a ON a.image_id = f.image_id AND a.y = y0 AND a.x = x0 LEFT JOIN heat b ON b.image_id = f.image_id AND b.y = y0 AND b.x = least(x0 + 1, 23)
+LEFT JOIN heat k ON k.image_id = f.image_id AND k.y = least(y0 + 1, 30) AND k.x = x0 LEFT JOIN heat e ON e.image_id = f.image_id AND e.y = least(y0 + 1, 30) AND e.x = least(x0 + 1, 23)"""
+
+
+@query("p7_rotate", f"WITH {C.HEAT_SQL}, {_ROTATE}")
 def p7(s, d):
-    return packed.filtered_cells(C.packed(C.heat(s, d)), lambda a: kernels.rotate(a, 7.5))
+    return packed.filtered_cells(C.heat_packed(s, d), lambda a: kernels.rotate(a, 7.5))
 
 
 @query("a1_histogram", f"WITH {C.TEXTMAP_SQL}, {_HIST} SELECT image_id, v, cnt FROM h")
 def a1(s, d):
-    return R.histogram(C.textmap(s, d))
+    return packed.histogram(C.text_line(s, d))
 
 
 @query("w1_cdf", f"WITH {C.TEXTMAP_SQL}, {_CDF} SELECT image_id, v, cnt, CAST(cum AS BIGINT) AS cum FROM c")
 def w1(s, d):
-    return R.cdf(R.histogram(C.textmap(s, d)))
+    return R.cdf(packed.histogram(C.text_line(s, d)))
 
 
 _EQ = "e AS (SELECT image_id, v, CAST(CASE WHEN n > l THEN round_even((cum - l) * 255.0::DOUBLE / (n - l), 0) ELSE v END AS INTEGER) AS eq FROM (SELECT *, sum(cnt) OVER (PARTITION BY image_id) AS n, min(cum) OVER (PARTITION BY image_id) AS l FROM c))"
@@ -79,7 +87,7 @@ _EQ = "e AS (SELECT image_id, v, CAST(CASE WHEN n > l THEN round_even((cum - l)
 
 @query("w2_equalization_levels", f"WITH {C.TEXTMAP_SQL}, {_CDF}, {_EQ} SELECT image_id, v, eq FROM e")
 def w2(s, d):
-    return R.equalized_levels(C.textmap(s, d))
+    return R.equalized_levels(packed.histogram(C.text_line(s, d)))
 
 
 @query("j1_lut_join", f"WITH {C.TEXTMAP_SQL}, {_CDF}, {_EQ} SELECT image_id, count(*) AS n, CAST(sum(eq * (x + 1)) AS BIGINT) AS checksum FROM textmap JOIN e USING (image_id, v) GROUP BY 1")
@@ -94,7 +102,7 @@ t AS (SELECT image_id, CASE WHEN s >= 0 THEN v ELSE 0 END AS threshold FROM (SEL
 
 @query("w3_otsu", f"WITH {C.TEXTMAP_SQL}, {_HIST}, {_OTSU} SELECT image_id, threshold FROM t")
 def w3(s, d):
-    return R.otsu(C.textmap(s, d))
+    return R.otsu_of(packed.histogram(C.text_line(s, d)))
 
 
 @query("w3_otsu_mask", f"WITH {C.TEXTMAP_SQL}, {_HIST}, {_OTSU} SELECT image_id, threshold, count(*) FILTER (WHERE v > threshold) AS fg_pixels FROM textmap JOIN t USING (image_id) GROUP BY 1, 2")
@@ -120,12 +128,12 @@ _GW = f"CASE o WHEN 0 THEN {_G[1]!r}::DOUBLE ELSE {_G[0]!r}::DOUBLE END"
 
 @query("w4_gaussian_blur", f"WITH {C.HEAT_SQL}, {_TAPS}, {_pass('heat', 'x', 23, _GW, 'p')}, {_pass('p', 'y', 30, _GW, 'q')} SELECT image_id, y, x, CAST(round_even(v, 0) AS INTEGER) AS v FROM q")
 def w4(s, d):
-    return packed.filtered_cells(C.packed(C.heat(s, d)), lambda a: kernels.blur(a, 3, 1.0))
+    return packed.filtered_cells(C.heat_packed(s, d), lambda a: kernels.blur(a, 3, 1.0))
 
 
 @query("w5_median_filter", f"WITH {C.HEAT_SQL}, {_TAPS}, m AS (SELECT a.image_id, a.y, a.x, list_sort(list(b.v)) AS l FROM heat a CROSS JOIN taps t CROSS JOIN taps u JOIN heat b ON b.image_id = a.image_id AND b.y = {_AT.format(c='a.y', o='t.o', n=30)} AND b.x = {_AT.format(c='a.x', o='u.o', n=23)} GROUP BY 1, 2, 3) SELECT image_id, y, x, l[5] AS v FROM m")
 def w5(s, d):
-    return packed.filtered_cells(C.packed(C.heat(s, d)), lambda a: kernels.median(a, 3))
+    return packed.filtered_cells(C.heat_packed(s, d), lambda a: kernels.median(a, 3))
 
 
 _SMOOTH, _STEP = "CASE o WHEN 0 THEN 2 ELSE 1 END", "o"
@@ -138,12 +146,12 @@ def _peak(value: str) -> str:
 
 @query("w7_sobel", f"WITH {_SOBEL} " + _peak("SELECT gx.image_id, gx.y, gx.x, sqrt(CAST(gx.v * gx.v + gy.v * gy.v AS DOUBLE)) AS g FROM gx JOIN gy USING (image_id, y, x)"))
 def w7(s, d):
-    return packed.filtered_cells(C.packed(C.heat(s, d)), kernels.sobel)
+    return packed.filtered_cells(C.heat_packed(s, d), kernels.sobel)
 
 
 @query("w8_sobel_x", f"WITH {_SOBEL} " + _peak("SELECT image_id, y, x, abs(CAST(v AS DOUBLE)) AS g FROM gx"))
 def w8(s, d):
-    return packed.filtered_cells(C.packed(C.heat(s, d)), kernels.sobel_x)
+    return packed.filtered_cells(C.heat_packed(s, d), kernels.sobel_x)
 
 
 @query("w6_clahe")
@@ -151,6 +159,23 @@ def w6(s, d):
     return packed.filtered(C.scene(s, d), kernels.clahe)
 
 
+_CLAHE = """p AS (SELECT a.image_id, ty, tx, b.v FROM (SELECT DISTINCT image_id FROM heat) a CROSS JOIN (VALUES (0), (1)) q(ty) CROSS JOIN (VALUES (0), (1)) r(tx) CROSS JOIN range(0, 16) i(dy) CROSS JOIN range(0, 12) j(dx)
+  JOIN heat b ON b.image_id = a.image_id AND b.y = CASE WHEN ty * 16 + dy > 30 THEN 60 - (ty * 16 + dy) ELSE ty * 16 + dy END AND b.x = tx * 12 + dx),
+n AS (SELECT image_id, ty, tx, v, least(count(*), 6) AS n, greatest(count(*) - 6, 0) AS over FROM p GROUP BY 1, 2, 3, 4),
+x AS (SELECT image_id, ty, tx, sum(over) AS over FROM n GROUP BY 1, 2, 3),
+l AS (SELECT x.image_id, x.ty, x.tx, lv AS v, coalesce(n, 0) + x.over // 256 + CASE WHEN lv < x.over % 256 THEN 1 ELSE 0 END AS n FROM x CROSS JOIN range(0, 256) g(lv) LEFT JOIN n ON n.image_id = x.image_id AND n.ty = x.ty AND n.tx = x.tx AND n.v = lv),
+u AS (SELECT image_id, ty, tx, v, round_even(CAST(sum(n) OVER (PARTITION BY image_id, ty, tx ORDER BY v) AS DOUBLE) * 255 / 192, 0) AS e FROM l),
+w AS (SELECT *, least(greatest(y / 16.0::DOUBLE - 0.5, 0), 1) AS fy, least(greatest(x / 12.0::DOUBLE - 0.5, 0), 1) AS fx FROM heat)
+SELECT w.image_id, w.y, w.x, CAST(round_even((a.e * (1 - fx) + b.e * fx) * (1 - fy) + (c.e * (1 - fx) + d.e * fx) * fy, 0) AS INTEGER) AS v FROM w
+JOIN u a ON a.image_id = w.image_id AND a.v = w.v AND a.ty = 0 AND a.tx = 0 JOIN u b ON b.image_id = w.image_id AND b.v = w.v AND b.ty = 0 AND b.tx = 1
+JOIN u c ON c.image_id = w.image_id AND c.v = w.v AND c.ty = 1 AND c.tx = 0 JOIN u d ON d.image_id = w.image_id AND d.v = w.v AND d.ty = 1 AND d.tx = 1"""
+
+
+@query("w6_clahe_cells", f"WITH {C.HEAT_SQL}, {_CLAHE}")
+def w6_cells(s, d):
+    return packed.filtered_cells(C.heat_packed(s, d), lambda a: kernels.clahe(a, (2, 2), 8.0))
+
+
 _MASK = "b AS (SELECT image_id, y, x, CASE WHEN v > 0 THEN 255 ELSE 0 END AS v FROM heat)"
 
 
@@ -208,24 +233,24 @@ n AS (SELECT *, dense_rank() OVER (PARTITION BY image_id ORDER BY root) AS label
 
 @query("g1_connected_components", f"WITH RECURSIVE {C.HEAT_SQL}, {_CC} SELECT image_id, CAST(label AS INTEGER) AS label, min(x) AS x, min(y) AS y, max(x) - min(x) + 1 AS width, max(y) - min(y) + 1 AS height, count(*) AS area, avg(x) AS cx, avg(y) AS cy FROM n GROUP BY 1, 2")
 def g1(s, d):
-    return packed.components(C.packed(C.heat(s, d)))
+    return packed.components(C.heat_packed(s, d))
 
 
 @query("f1_component_geometry", f"WITH RECURSIVE {C.HEAT_SQL}, {_CC}, k AS (SELECT image_id, label, max(x) - min(x) + 1 AS width, max(y) - min(y) + 1 AS height, count(*) AS area FROM n GROUP BY 1, 2) SELECT image_id, CAST(label AS INTEGER) AS label, width::DOUBLE / height AS aspect_ratio, area::DOUBLE / (width * height) AS fill_ratio FROM k WHERE width >= 2 AND width::DOUBLE / height BETWEEN 0.5 AND 6.5 AND area::DOUBLE / (width * height) >= 0.3")
 def f1(s, d):
-    c = packed.components(C.packed(C.heat(s, d)))
+    c = packed.components(C.heat_packed(s, d))
     aspect, fill = F.col("width") / F.greatest(F.lit(1), F.col("height")), F.col("area") / F.greatest(F.lit(1), F.col("width") * F.col("height"))
     return c.where((F.col("width") >= 2) & aspect.between(0.5, 6.5) & (fill >= 0.3)).select("image_id", "label", aspect.alias("aspect_ratio"), fill.alias("fill_ratio"))
 
 
-@query("a3_hough_votes", f"WITH {C.HEAT_SQL} SELECT image_id, theta, CAST(round_even(round(x * cos(radians(theta)) + y * sin(radians(theta)), 9), 0) AS INTEGER) AS rho, count(*) AS votes FROM heat CROSS JOIN (VALUES (85.0::DOUBLE), (87.5), (90.0), (92.5), (95.0)) t(theta) WHERE v > 0 GROUP BY 1, 2, 3")
+@query("a3_hough_votes", f"WITH {C.HEAT_SQL}, b AS (SELECT image_id, theta, CAST(round_even(round(x * cos(radians(theta)) + y * sin(radians(theta)) + sqrt(31.0 * 31 + 24.0 * 24), 9), 0) AS INTEGER) AS bin, count(*) AS votes FROM heat CROSS JOIN (VALUES (85.0::DOUBLE), (87.5), (90.0), (92.5), (95.0)) t(theta) WHERE v > 0 GROUP BY 1, 2, 3) SELECT image_id, theta, bin, round(bin - sqrt(31.0 * 31 + 24.0 * 24), 6) AS rho, votes FROM b")
 def a3(s, d):
-    return R.hough_votes(C.heat(s, d), [85.0, 87.5, 90.0, 92.5, 95.0])
+    return R.hough_votes(C.heat(s, d), [85.0, 87.5, 90.0, 92.5, 95.0], 31, 24).withColumn("rho", F.round("rho", 6))
 
 
 @query("g5_skew_angle")
 def g5(s, d):
-    return packed.skew(C.packed(C.heat(s, d)))
+    return packed.skew(C.heat_packed(s, d))
 
 
 @query("a4_zoning", f"WITH {C.GLYPH8_SQL} SELECT image_id, CAST(y // 2 * 4 + x // 2 AS INTEGER) AS zone, avg(CASE WHEN v > 127 THEN 1 ELSE 0 END) AS share FROM glyph8 GROUP BY 1, 2")
@@ -244,25 +269,25 @@ def g15(s, d):
 
 
 _VEC = "vec AS (SELECT image_id, label, list(v ORDER BY y, x) AS vec FROM glyph8 GROUP BY 1, 2)"
-_PAIRS = "d AS (SELECT q.image_id, t.image_id AS train_id, t.label, list_sum(list_transform(range(1, 65), lambda i: (q.vec[i] - t.vec[i]) * (q.vec[i] - t.vec[i]))) AS d FROM vec q, vec t WHERE q.image_id % 20 = 0 AND t.image_id % 20 <> 0)"
+_PAIRS = "d AS (SELECT q.image_id, t.image_id AS train_id, t.label, list_sum(list_transform(range(1, 65), lambda i: (q.vec[i] - t.vec[i]) * (q.vec[i] - t.vec[i]))) AS d FROM vec q, vec t WHERE q.image_id % 20 = 0 AND t.image_id <> q.image_id)"
 _KNN = "knn AS (SELECT image_id, label, count(*) / 3::DOUBLE AS p FROM (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY d, train_id) AS r FROM d) WHERE r <= 3 GROUP BY 1, 2)"
 _TPL = "z AS (SELECT image_id, label, -(min(d)::DOUBLE / 4161600.0::DOUBLE) / 0.035::DOUBLE AS z FROM d GROUP BY 1, 2), e AS (SELECT image_id, label, exp(z - max(z) OVER (PARTITION BY image_id)) AS e FROM z), tpl AS (SELECT image_id, label, e / sum(e) OVER (PARTITION BY image_id) AS p FROM e)"
 
 
-def _queries_and_training(s, d):
-    """The search's fixed query set: ids divisible by 20, against all other rows."""
+def _queries_and_all(s, d):
+    """The search's fixed query set, ids divisible by 20, and all rows; no row is its own neighbour."""
     v = classify.vectors(C.glyph8(s, d))
-    return v.where("image_id % 20 = 0"), v.where("image_id % 20 <> 0")
+    return v.where("image_id % 20 = 0"), v
 
 
 @query("c1_knn", f"WITH {C.GLYPH8_SQL}, {_VEC}, {_PAIRS}, {_KNN} SELECT image_id, label, round(p, 9) AS p FROM knn")
 def c1(s, d):
-    return classify.knn(*_queries_and_training(s, d)).withColumn("p", F.round("p", 9))
+    return classify.knn(*_queries_and_all(s, d)).withColumn("p", F.round("p", 9))
 
 
 @query("c4_pixel_template", f"WITH {C.GLYPH8_SQL}, {_VEC}, {_PAIRS}, {_TPL} SELECT image_id, label, round(p, 6) AS p FROM tpl")
 def c4(s, d):
-    return classify.templates(*_queries_and_training(s, d)).withColumn("p", F.round("p", 6))
+    return classify.templates(*_queries_and_all(s, d)).withColumn("p", F.round("p", 6))
 
 
 _BLEND = "bl AS (SELECT image_id, label, sum(p) AS p FROM (SELECT image_id, label, p * (0.2 / 0.9) AS p FROM tpl UNION ALL SELECT image_id, label, p * (0.7 / 0.9) FROM knn) GROUP BY 1, 2)"
@@ -270,14 +295,14 @@ _BLEND = "bl AS (SELECT image_id, label, sum(p) AS p FROM (SELECT image_id, labe
 
 @query("c7_blend_top_class", f"WITH {C.GLYPH8_SQL}, {_VEC}, {_PAIRS}, {_KNN}, {_TPL}, {_BLEND} SELECT image_id, label FROM (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY round(p, 9) DESC, label) AS r FROM bl) WHERE r = 1")
 def c7(s, d):
-    q, t = _queries_and_training(s, d)
-    both = classify.blend([(classify.templates(q, t), 0.2), (classify.knn(q, t), 0.7)])
+    both = classify.blended_search(*_queries_and_all(s, d))
     return R.top_class(both.withColumn("p", F.round("p", 9))).select("image_id", "label")
 
 
 @query("c2_mlp")
 def c2(s, d):
-    return R.top_class(classify.mlp(*_queries_and_training(s, d), hidden=(32,), epochs=20, rate=0.05))
+    every = classify.vectors(C.glyph8(s, d))
+    return R.top_class(classify.mlp(every, every, hidden=(32,), epochs=20, rate=0.05))
 
 
 @query("a10_class_prototypes", f"WITH {C.GLYPH8_SQL} SELECT label, y, x, avg(v) AS mean FROM glyph8 GROUP BY 1, 2, 3")
@@ -300,7 +325,7 @@ def x2(s, d):
     return C.table(s, d, "customer").select("c_custkey", T.corrected(name).alias("corrected"), T.format_plate(name).alias("formatted"), T.plate_slots(F.length(T.compact(name))).alias("slots"))
 
 
-@query("x7_label_normalize", "SELECT p_partkey, regexp_replace(upper(p_brand), '[^\\p{L}\\p{N}]', '', 'g') AS label, regexp_extract(upper(trim(p_brand)), '^([0-9A-Z])', 1) AS first FROM part")
+@query("x7_label_normalize", "SELECT p_partkey, regexp_replace(upper(p_brand), '[^\\p{L}\\p{N}]', '', 'g') AS label, regexp_extract(upper(p_brand), '[0-9A-Z]') AS first FROM part")
 def x7(s, d):
     return C.table(s, d, "part").select("p_partkey", T.normalize_label(F.col("p_brand")).alias("label"), T.clean_label(F.col("p_brand")).alias("first"))
 
@@ -309,7 +334,7 @@ def x7(s, d):
 def t1(s, d):
     from pyspark.sql import Window
 
-    c = packed.components(C.packed(C.heat(s, d)))
+    c = packed.components(C.heat_packed(s, d))
     return c.select("image_id", "label", "area", F.row_number().over(Window.partitionBy("image_id").orderBy(F.desc("area"), "label")).alias("r")).where("r <= 5")
 
 
@@ -336,3 +361,21 @@ def q1(s, d):
 @query("q2_recognize")
 def q2(s, d):
     return packed.first_candidate(C.scene(s, d))
+
+
+@query("b1_preprocess_large")
+def b1(s, d):
+    """Step 1 on 768 x 1024 images."""
+    from tessella.operators import plates
+
+    def make(a):
+        enhanced = plates.enhance(a)
+        return kernels.threshold(enhanced, kernels.otsu(enhanced), True)
+
+    return packed.filtered(C.large_scene(s, d), make)
+
+
+@query("b2_detect_large")
+def b2(s, d):
+    """Steps 1 and 2 on 768 x 1024 images."""
+    return packed.detect(C.large_scene(s, d))

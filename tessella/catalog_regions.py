@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tessella.catalog import _BLEND, _CC, _KNN, _PAIRS, _TPL, _VEC, _queries_and_training, query
+from tessella.catalog import _BLEND, _CC, _KNN, _PAIRS, _TPL, _VEC, _queries_and_all, query
 from tessella.functions import text as T
 from tessella.operators import classify, kernels, packed, plates, reading
 from tessella.operators import relational as R
@@ -17,7 +17,7 @@ _STATS = f"{C.HEAT_SQL}, {_CC}, k AS (SELECT image_id, CAST(label AS INTEGER) AS
 
 
 def _components(s, d):
-    return packed.components(C.packed(C.heat(s, d)))
+    return packed.components(C.heat_packed(s, d))
 
 
 @query("p15_plate_score", f"WITH RECURSIVE {_STATS} SELECT image_id, label, round(exp(-power(width::DOUBLE / height - 3.5, 2) / 4.5) * least(1, greatest(0, (area::DOUBLE / (width * height) - 0.3) / 0.7)), 9) AS score FROM k")
@@ -33,10 +33,10 @@ def p16(s, d):
     return _components(s, d).groupBy("image_id").agg(F.count("*").alias("n")).select("image_id", "n", F.round(score, 9).alias("count_score"))
 
 
-@query("f2_character_geometry", f"WITH RECURSIVE {_STATS} SELECT image_id, label FROM k WHERE height / 31.0 BETWEEN 0.05 AND 0.95 AND width / 24.0 BETWEEN 0.015 AND 0.28 AND area / 744.0 BETWEEN 0.001 AND 0.18 AND area::DOUBLE / (width * height) BETWEEN 0.08 AND 1 AND x >= 1 AND y >= 1 AND x + width <= 23 AND y + height <= 30")
+@query("f2_character_geometry", f"WITH RECURSIVE {_STATS} SELECT image_id, label FROM k WHERE height / 31.0 BETWEEN 0.05 AND 0.95 AND width / 24.0 BETWEEN 0.015 AND 0.28 AND area / 744.0 BETWEEN 0.001 AND 0.18 AND area::DOUBLE / (width * height) BETWEEN 0.08 AND 1 AND NOT (x <= 1 OR y <= 1 OR x + width >= 24 - 1 OR y + height >= 31 - 1)")
 def f2(s, d):
     c = _components(s, d)
-    inside = (F.col("x") >= 1) & (F.col("y") >= 1) & (F.col("x") + F.col("width") <= 23) & (F.col("y") + F.col("height") <= 30)
+    inside = F.least("x", "y", 24 - F.col("x") - F.col("width"), 31 - F.col("y") - F.col("height")) > 1
     ratio = (F.col("height") / 31).between(0.05, 0.95) & (F.col("width") / 24).between(0.015, 0.28) & (F.col("area") / 744).between(0.001, 0.18)
     return c.where(inside & ratio & (F.col("area") / (F.col("width") * F.col("height"))).between(0.08, 1.0)).select("image_id", "label")
 
@@ -94,30 +94,29 @@ def a8(s, d):
 
 @query("a13_cross_entropy", f"WITH {C.GLYPH8_SQL}, {_VEC}, {_PAIRS}, {_TPL} SELECT round(avg(-ln(greatest(p, 1e-8))), 6) AS loss, count(*) AS n FROM tpl JOIN vec USING (image_id, label)")
 def a13(s, d):
-    q, t = _queries_and_training(s, d)
+    q, t = _queries_and_all(s, d)
     return classify.templates(q, t).join(q.select("image_id", "label"), ["image_id", "label"]).agg(F.round(F.avg(-F.log(F.greatest("p", F.lit(1e-8)))), 6).alias("loss"), F.count("*").alias("n"))
 
 
 @query("a15_accuracy", f"WITH {C.GLYPH8_SQL}, {_VEC}, {_PAIRS}, {_KNN}, b AS (SELECT image_id, label FROM (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY p DESC, label) AS r FROM knn) WHERE r = 1) SELECT count(*) AS n, count(*) FILTER (WHERE b.label <> vec.label) AS wrong FROM b JOIN vec USING (image_id)")
 def a15(s, d):
-    q, t = _queries_and_training(s, d)
+    q, t = _queries_and_all(s, d)
     both = R.top_class(classify.knn(q, t)).select("image_id", F.col("label").alias("got")).join(q, "image_id")
     return both.agg(F.count("*").alias("n"), F.count_if(F.col("got") != F.col("label")).alias("wrong"))
 
 
-@query("c5_zoning_template", f"WITH {C.GLYPH8_SQL}, zv AS (SELECT image_id, label, list(s ORDER BY zone) AS vec FROM (SELECT image_id, label, y // 2 * 4 + x // 2 AS zone, CAST(count(*) FILTER (WHERE v > 127) AS BIGINT) AS s FROM glyph8 GROUP BY 1, 2, 3) GROUP BY 1, 2), dd AS (SELECT q.image_id, t.label, min(list_sum(list_transform(range(1, 17), lambda i: (q.vec[i] - t.vec[i]) * (q.vec[i] - t.vec[i])))) AS d FROM zv q, zv t WHERE q.image_id % 20 = 0 AND t.image_id % 20 <> 0 GROUP BY 1, 2) SELECT image_id, label, CAST(d AS BIGINT) AS d FROM dd")
+@query("c5_zoning_template", f"WITH {C.GLYPH8_SQL}, zv AS (SELECT image_id, label, list(s ORDER BY zone) AS vec FROM (SELECT image_id, label, y // 2 * 4 + x // 2 AS zone, CAST(count(*) FILTER (WHERE v > 127) AS BIGINT) AS s FROM glyph8 GROUP BY 1, 2, 3) GROUP BY 1, 2), dd AS (SELECT q.image_id, t.label, min(list_sum(list_transform(range(1, 17), lambda i: (q.vec[i] - t.vec[i]) * (q.vec[i] - t.vec[i])))) AS d FROM zv q, zv t WHERE q.image_id % 20 = 0 AND t.image_id <> q.image_id GROUP BY 1, 2) SELECT image_id, label, CAST(d AS BIGINT) AS d FROM dd")
 def c5(s, d):
     zone = F.expr("cast(y div 2 as int) * 4 + cast(x div 2 as int)")
     z = C.glyph8(s, d).groupBy("image_id", "label", zone.alias("zone")).agg(F.count_if(F.col("v") > 127).alias("s"))
     v = z.groupBy("image_id", "label").agg(F.array_sort(F.collect_list(F.struct("zone", "s"))).alias("c")).select("image_id", "label", F.transform("c", lambda c: c["s"]).alias("vec"))
-    near = classify.pairs(v.where("image_id % 20 = 0"), v.where("image_id % 20 <> 0"))
+    near = classify.nearest(v.where("image_id % 20 = 0"), v, 1)
     return near.groupBy("image_id", "label").agg(F.min("d").alias("d"))
 
 
 @query("t4_top_three_classes", f"WITH {C.GLYPH8_SQL}, {_VEC}, {_PAIRS}, {_KNN}, {_TPL}, {_BLEND} SELECT image_id, label, CAST(r AS INTEGER) AS r FROM (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY round(p, 9) DESC, label DESC) AS r FROM bl) WHERE r <= 3")
 def t4(s, d):
-    q, t = _queries_and_training(s, d)
-    b = classify.blend([(classify.templates(q, t), 0.2), (classify.knn(q, t), 0.7)])
+    b = classify.blended_search(*_queries_and_all(s, d))
     order = Window.partitionBy("image_id").orderBy(F.round("p", 9).desc(), F.desc("label"))
     return b.select("image_id", "label", F.row_number().over(order).alias("r")).where("r <= 3")
 
@@ -187,7 +186,7 @@ def g4(s, d):
     def make(_, a):
         return [{"rho": r, "theta": t, "votes": v} for r, t, v in kernels.hough(a, np.arange(0, 180.0))]
 
-    return packed.rows(C.packed(C.heat(s, d)), "image_id long, rho double, theta double, votes int", make)
+    return packed.rows(C.heat_packed(s, d), "image_id long, rho double, theta double, votes int", make)
 
 
 @query("p10_draw_candidates")

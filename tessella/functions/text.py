@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 
 def clean_label(s: Column) -> Column:
-    return F.regexp_extract(F.upper(F.trim(s)), "^([0-9A-Z])", 1)
+    """The first letter or digit of a label, upper case; empty where it has none."""
+    return F.regexp_extract(F.upper(s), "([0-9A-Z])", 1)
 
 
 def for_slot(ch: Column, slot: Column) -> Column:

@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 
 from tessella.operators.relational import softmax
 
-#: Training rows that may be broadcast to every query row.
-BROADCAST_ROWS = 200_000
+#: Rows of a block of queries and of a block of searched rows: a pair of blocks is one product.
+QUERY_BLOCK, SEARCH_BLOCK = 512, 4_096
+#: Bytes of query vectors that may be broadcast; beyond, blocks of both sides are paired by a shuffle.
+BROADCAST_BYTES = 32 << 20
 
 
 def vectors(glyphs: DataFrame) -> DataFrame:
@@ -18,34 +20,77 @@ def vectors(glyphs: DataFrame) -> DataFrame:
     return glyphs.groupBy("image_id", "label").agg(cells.alias("c")).select("image_id", "label", F.transform("c", lambda c: c["v"].cast("long")).alias("vec"))
 
 
-def squared_distance(a, b):
-    return F.aggregate(F.zip_with(a, b, lambda p, q: (p - q) * (p - q)), F.lit(0).cast("long"), lambda s, d: s + d)
+def _blocks(df: DataFrame, size: int, prefix: str, *names: str) -> DataFrame:
+    """Rows gathered into arrays of about `size` (a block holds no more than a few times that)."""
+    n = max(1, -(-df.count() // size))
+    block = F.pmod(F.xxhash64("image_id"), F.lit(n)).alias(f"{prefix}_block")
+    return df.groupBy(block).agg(F.collect_list(F.struct(*names)).alias(prefix))
 
 
-def pairs(queries: DataFrame, train: DataFrame) -> DataFrame:
-    """(image_id, train_id, label, d): the stated queries against every training row."""
-    if train.count() <= BROADCAST_ROWS:
-        train = F.broadcast(train)
-    t = train.select(F.col("image_id").alias("train_id"), "label", F.col("vec").alias("tv"))
-    return queries.select("image_id", "vec").crossJoin(t).select("image_id", "train_id", "label", squared_distance(F.col("vec"), F.col("tv")).alias("d"))
+def nearest(queries: DataFrame, train: DataFrame, k: int) -> DataFrame:
+    """(image_id, train_id, label, d): stated queries against every row but their own id, in blocks.
 
-
-def knn(queries: DataFrame, train: DataFrame, k: int = 3) -> DataFrame:
-    """(image_id, label, p): vote shares of the k nearest, ties by training id."""
+    Of each pair of blocks a query keeps its k nearest rows and the nearest of each class (ties by
+    train_id), so that few rows of all pairs leave a task. Vectors are whole numbers: d is exact."""
     if k <= 0:
         raise ValueError("k must be positive")
-    near = pairs(queries, train).withColumn("r", F.row_number().over(Window.partitionBy("image_id").orderBy("d", "train_id"))).where(F.col("r") <= k)
+    q = _blocks(queries, QUERY_BLOCK, "q", "image_id", "vec")
+    t = _blocks(train, SEARCH_BLOCK, "t", "image_id", "label", "vec")
+    size = queries.agg(F.coalesce(F.sum(F.size("vec") * 8 + 16), F.lit(0))).first()[0]
+    kind = dict(train.dtypes)["label"]
+
+    def run(batches):
+        import pandas as pd
+
+        for pdf in batches:
+            for row in pdf.itertuples():
+                ids, train_ids = (np.array([x["image_id"] for x in part], np.int64) for part in (row.q, row.t))
+                labels = np.array([x["label"] for x in row.t])
+                a, b = (np.array([x["vec"] for x in part], float) for part in (row.q, row.t))
+                order = np.argsort(train_ids, kind="stable")
+                train_ids, labels, b = train_ids[order], labels[order], b[order]
+                d = (a * a).sum(axis=1)[:, None] + (b * b).sum(axis=1)[None, :] - 2 * (a @ b.T)
+                d[ids[:, None] == train_ids[None, :]] = np.inf
+                chosen = np.zeros(d.shape, bool)
+                np.put_along_axis(chosen, np.argsort(d, axis=1, kind="stable")[:, :k], True, axis=1)
+                for c in np.unique(labels):
+                    own = np.flatnonzero(labels == c)
+                    chosen[np.arange(len(ids)), own[d[:, own].argmin(axis=1)]] = True
+                i, j = np.nonzero(chosen & np.isfinite(d))
+                yield pd.DataFrame({"image_id": ids[i], "train_id": train_ids[j], "label": labels[j], "d": np.rint(d[i, j]).astype(np.int64)})
+
+    pairs = t.crossJoin(F.broadcast(q)) if size <= BROADCAST_BYTES else t.crossJoin(q)
+    return pairs.select("q", "t").mapInPandas(run, f"image_id long, train_id long, label {kind}, d long")
+
+
+def shares_of_nearest(near: DataFrame, k: int) -> DataFrame:
+    first = near.withColumn("r", F.row_number().over(Window.partitionBy("image_id").orderBy("d", "train_id"))).where(F.col("r") <= k)
     share = F.count("*") / F.sum(F.count("*")).over(Window.partitionBy("image_id"))
-    return near.groupBy("image_id", "label").agg(share.alias("p"))
+    return first.groupBy("image_id", "label").agg(share.alias("p"))
 
 
-def templates(queries: DataFrame, train: DataFrame, temperature: float = 0.035) -> DataFrame:
-    """(image_id, label, p): softmax of minus the least mean squared difference of a class."""
-    least = pairs(queries, train).groupBy("image_id", "label").agg(F.min("d").alias("d"))
+def softmax_of_nearest(near: DataFrame, temperature: float = 0.035) -> DataFrame:
+    least = near.groupBy("image_id", "label").agg(F.min("d").alias("d"))
     size = float(64 * 255 * 255)
     return softmax(least.select("image_id", "label", (-(F.col("d") / size) / temperature).alias("z")), "z").select("image_id", "label", "p")
 
 
+def knn(queries: DataFrame, train: DataFrame, k: int = 3) -> DataFrame:
+    """(image_id, label, p): vote shares of the k nearest, ties by training id."""
+    return shares_of_nearest(nearest(queries, train, k), k)
+
+
+def templates(queries: DataFrame, train: DataFrame, temperature: float = 0.035) -> DataFrame:
+    """(image_id, label, p): softmax of minus the least mean squared difference of a class."""
+    return softmax_of_nearest(nearest(queries, train, 1), temperature)
+
+
+def blended_search(queries: DataFrame, train: DataFrame, k: int = 3) -> DataFrame:
+    """Templates and neighbours from one search, blended."""
+    near = nearest(queries, train, k)
+    return blend([(softmax_of_nearest(near), 0.2), (shares_of_nearest(near, k), 0.7)])
+
+
 def blend(outputs: list[tuple[DataFrame, float]]) -> DataFrame:
     """Weighted mean over the union of classes; a class a model lacks counts 0."""
     total = sum(w for _, w in outputs)

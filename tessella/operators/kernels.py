@@ -286,17 +286,17 @@ def hough(edges: np.ndarray, thetas: np.ndarray, most: int = 10, near: tuple[int
     least = max(8, round(0.05 * min(edges.shape))) if least is None else least
     if not len(ys):
         return []
-    top = math.ceil(math.hypot(*edges.shape))
-    votes = np.zeros((2 * top + 1, len(thetas)), np.int64)
+    reach = math.hypot(*edges.shape)  # bins are whole steps from -reach, which is mostly not whole
+    votes = np.zeros((math.ceil(2 * reach) + 1, len(thetas)), np.int64)
     for k, t in enumerate(np.radians(thetas)):
-        rho = np.rint(xs * math.cos(t) + ys * math.sin(t)).astype(int) + top
-        votes[:, k] = np.bincount(rho, minlength=len(votes))
+        at = np.rint(np.round(xs * math.cos(t) + ys * math.sin(t) + reach, 9)).astype(int)
+        votes[:, k] = np.bincount(at, minlength=len(votes))[: len(votes)]
     out = []
     while len(out) < most:
         r, k = divmod(int(votes.argmax()), len(thetas))
         if votes[r, k] < least or votes[r, k] == 0:
             break
-        out.append((float(r - top), float(thetas[k]), int(votes[r, k])))
+        out.append((r - reach, float(thetas[k]), int(votes[r, k])))
         votes[max(0, r - near[0]) : r + near[0] + 1, max(0, k - near[1]) : k + near[1] + 1] = 0
     return out
 

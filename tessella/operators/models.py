@@ -42,3 +42,26 @@ def load_templates(spark: SparkSession, path: str, kind: str):
     if meta.get("model_type") != kind:
         raise ValueError(f"not a {kind} model")
     return df.select("label", "vec"), meta
+
+
+def load_template_model(spark: SparkSession, path: str, kind: str):
+    """The templates of a folder as a classifier."""
+    from tessella.operators.templates import Templates
+
+    df, meta = load_templates(spark, path, kind)
+    rows = df.collect()
+    return Templates(kind, meta["temperature"], np.array([r.vec for r in rows]), np.array([r.label for r in rows]))
+
+
+def save_template_model(spark: SparkSession, model, path: str) -> None:
+    save_templates(spark, list(zip(map(str, model.labels), model.vectors.tolist(), strict=True)), path, model.kind, model.temperature)
+
+
+def first_model(spark: SparkSession, paths: list[str]) -> tuple[Mlp, dict] | None:
+    """The first network that is there, in the order of `paths`; None without any."""
+    jvm = spark._jvm
+    for path in paths:
+        place = jvm.org.apache.hadoop.fs.Path(path)
+        if place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place):
+            return load_mlp(spark, path)
+    return None

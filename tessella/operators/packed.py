@@ -59,6 +59,16 @@ def filtered_cells(df: DataFrame, kernel: Callable[[np.ndarray], np.ndarray]) ->
     return df.select("image_id", "h", "w", "data").mapInPandas(run, "image_id long, y int, x int, v int")
 
 
+def histogram(df: DataFrame) -> DataFrame:
+    """(image_id, v, cnt): at most 256 rows an image, without a shuffle."""
+
+    def make(_, a):
+        count = np.bincount(a.ravel(), minlength=256)
+        return [{"v": int(v), "cnt": int(count[v])} for v in np.flatnonzero(count)]
+
+    return rows(df, "image_id long, v int, cnt long", make)
+
+
 def components(df: DataFrame, connectivity: int = 8) -> DataFrame:
     return rows(df, COMPONENT, lambda _, a: K.stats(*K.label(a, connectivity)))
 

@@ -62,24 +62,41 @@ def bright_regions(enhanced: np.ndarray) -> list[dict]:
     for c in K.stats(*K.label(K.threshold(enhanced, K.otsu(enhanced)))):
         aspect, box = c["width"] / max(1, c["height"]), c["width"] * c["height"]
         if 1.5 <= aspect <= 6.5 and 0.001 <= box / (h * w) <= 0.10 and c["width"] >= 80 and c["height"] >= 30 and c["area"] / box >= 0.20:
-            out.append({**c, "score": 0.0})
-    return out[:8]
+            out.append({**c, "score": 0.35 * c["area"] / box})
+    return out
+
+
+def coerce_box(box) -> tuple[int, int, int, int]:
+    """(x, y, width, height) of a component or candidate (by name), or of four values."""
+    values = [box[k] for k in ("x", "y", "width", "height")] if isinstance(box, dict) else list(box)
+    if len(values) != 4:
+        raise ValueError("a box has four values: x, y, width, height")
+    x, y, w, h = (int(v) for v in values)
+    return x, y, w, h
+
+
+def touches_border(box, shape: tuple[int, int]) -> bool:
+    (x, y, w, h), (height, width) = box, shape
+    edge = max(2, round(0.02 * min(shape)))
+    return min(x, y, width - x - w, height - y - h) <= edge
 
 
 def choose_region(enhanced: np.ndarray, candidates: list[dict], cfg: Segmentation = Segmentation()) -> dict | None:
-    """The best option: detections, the full image, and bright regions if none has 4 to 10 characters."""
+    """The best option: detections, the full image, and bright regions if none has 4 to 10 characters.
+
+    Of bright regions the first eight that hold characters count; the border is no fault of theirs."""
     h, w = enhanced.shape
-    edge = max(2, round(0.02 * min(h, w)))
 
-    def option(source: str, c: dict) -> dict:
-        plate, angle = normalize(enhanced, (c["x"], c["y"], c["width"], c["height"]))
-        border = c["x"] <= edge or c["y"] <= edge or c["x"] + c["width"] >= w - edge or c["y"] + c["height"] >= h - edge
-        return {"source": source, "chars": segment(plate, cfg), "angle": angle, "rank_score": c["score"], "border": border, "box": (c["x"], c["y"], c["width"], c["height"])}
+    def option(source: str, c: dict, border: bool) -> dict:
+        box = coerce_box(c)
+        plate, angle = normalize(enhanced, box)
+        return {"source": source, "chars": segment(plate, cfg), "angle": angle, "rank_score": c["score"], "border": border, "box": box}
 
-    options = [option(f"detector_{i}", c) for i, c in enumerate(candidates)]
+    options = [option(f"detector_{i}", c, touches_border(coerce_box(c), enhanced.shape)) for i, c in enumerate(candidates)]
     options.append({"source": "full_image", "chars": segment(enhanced, cfg), "angle": 0.0, "rank_score": 0.0, "border": False, "box": (0, 0, w, h)})
     if not any(4 <= len(o["chars"]) <= 10 for o in options):
-        options += [option(f"bright_{i}", c) for i, c in enumerate(bright_regions(enhanced))]
+        bright = [o for o in (option("bright", c, False) for c in bright_regions(enhanced)) if o["chars"]][:8]
+        options += [{**o, "source": f"bright_{i}"} for i, o in enumerate(bright)]
     for o in options:
         o["rank"] = region_score(len(o["chars"]), o["rank_score"], o["border"], o["source"] == "full_image")
     return max(options, key=lambda o: o["rank"])

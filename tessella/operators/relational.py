@@ -26,21 +26,25 @@ def cdf(hist: DataFrame) -> DataFrame:
     return hist.withColumn("cum", F.sum("cnt").over(so_far))
 
 
-def equalized_levels(df: DataFrame) -> DataFrame:
-    """(image_id, v, eq): the level each level becomes; a constant raster stays."""
+def equalized_levels(hist: DataFrame) -> DataFrame:
+    """(image_id, v, eq) of a histogram: the level each level becomes; a constant raster stays."""
     whole = Window.partitionBy("image_id")
-    c = cdf(histogram(df)).withColumn("n", F.sum("cnt").over(whole)).withColumn("least", F.min("cum").over(whole))
+    c = cdf(hist).withColumn("n", F.sum("cnt").over(whole)).withColumn("least", F.min("cum").over(whole))
     return c.select("image_id", "v", F.when(F.col("n") > F.col("least"), F.rint((F.col("cum") - F.col("least")) * 255.0 / (F.col("n") - F.col("least")))).otherwise(F.col("v")).cast("int").alias("eq"))
 
 
 def equalize(df: DataFrame) -> DataFrame:
-    return df.join(equalized_levels(df), ["image_id", "v"]).select("image_id", "y", "x", "v", "eq")
+    return df.join(equalized_levels(histogram(df)), ["image_id", "v"]).select("image_id", "y", "x", "v", "eq")
 
 
 def otsu(df: DataFrame) -> DataFrame:
     """(image_id, threshold): exact in integers; 0 for a constant raster."""
+    return otsu_of(histogram(df))
+
+
+def otsu_of(hist: DataFrame) -> DataFrame:
     whole, so_far = Window.partitionBy("image_id"), Window.partitionBy("image_id").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    h = histogram(df).select("image_id", "v", F.sum("cnt").over(so_far).alias("n"), F.sum(F.col("cnt") * F.col("v")).over(so_far).alias("m"), F.sum("cnt").over(whole).alias("tn"), F.sum(F.col("cnt") * F.col("v")).over(whole).alias("tm"))
+    h = hist.select("image_id", "v", F.sum("cnt").over(so_far).alias("n"), F.sum(F.col("cnt") * F.col("v")).over(so_far).alias("m"), F.sum("cnt").over(whole).alias("tn"), F.sum(F.col("cnt") * F.col("v")).over(whole).alias("tm"))
     gap = (F.col("tm") * F.col("n") - F.col("tn") * F.col("m")).cast("double")
     s = F.when(F.col("n") < F.col("tn"), gap * gap / (F.col("n").cast("double") * (F.col("tn") - F.col("n")))).otherwise(-1.0)
     best = h.select("image_id", F.struct(s.alias("s"), (-F.col("v")).alias("v")).alias("k")).groupBy("image_id").agg(F.max("k").alias("k"))
@@ -102,12 +106,14 @@ def plate_score(aspect: Column, fill: Column, density: Column) -> Column:
     return F.exp(-F.pow(aspect - 3.5, 2) / 4.5) * unit((fill - 0.30) / 0.70) * unit((density - 0.10) / 0.40)
 
 
-def hough_votes(df: DataFrame, thetas: list[float]) -> DataFrame:
-    """(image_id, theta, rho, votes) of non-zero cells; each cell votes once a theta."""
+def hough_votes(df: DataFrame, thetas: list[float], h: int, w: int) -> DataFrame:
+    """(image_id, theta, bin, rho, votes) of non-zero cells of h x w rasters; each cell votes once
+    a theta. Bins are whole steps of rho from minus the diagonal."""
+    reach = float(h * h + w * w) ** 0.5
     t = F.explode(F.array(*[F.lit(float(a)) for a in thetas]))
     v = df.where("v > 0").select("image_id", "x", "y", t.alias("theta"))
-    rho = F.rint(F.round(F.col("x") * F.cos(F.radians("theta")) + F.col("y") * F.sin(F.radians("theta")), 9)).cast("int")
-    return v.groupBy("image_id", "theta", rho.alias("rho")).agg(F.count("*").alias("votes"))
+    at = F.rint(F.round(F.col("x") * F.cos(F.radians("theta")) + F.col("y") * F.sin(F.radians("theta")) + reach, 9)).cast("int")
+    return v.groupBy("image_id", "theta", at.alias("bin")).agg(F.count("*").alias("votes")).withColumn("rho", F.col("bin") - reach)
 
 
 def zones(df: DataFrame, size: int, grid: int, over: int = 127) -> DataFrame:

@@ -24,7 +24,7 @@ def preprocess_stages(df: DataFrame, cfg: Preprocess = Preprocess()) -> DataFram
         enhanced = kernels.clahe(blurred, cfg.grid, cfg.clip)
         binary = kernels.threshold(enhanced, kernels.otsu(enhanced), cfg.otsu_invert)
         stages = {"gray": gray, "blurred": blurred, "enhanced": enhanced, "binary": binary}
-        return [_picture(k, a) for k, a in stages.items()] + [_picture("strip", images.side_by_side(list(stages.values())))]
+        return [_picture(f"preprocess_{k}", a) for k, a in stages.items()] + [_picture("preprocess_strip", images.side_by_side(list(stages.values())))]
 
     return packed.rows(df, STAGE, make)
 
@@ -35,7 +35,7 @@ def detection_stages(df: DataFrame) -> DataFrame:
     def make(_, gray):
         enhanced = plates.enhance(gray)
         boxes = [(c["x"], c["y"], c["width"], c["height"]) for c in plates.detect(enhanced)]
-        return [_picture("enhanced", enhanced), _picture("candidates", reading.draw_boxes(enhanced, boxes))]
+        return [_picture("detection_enhanced", enhanced), _picture("detection_candidates", reading.draw_boxes(enhanced, boxes))]
 
     return packed.rows(df, STAGE, make)
 

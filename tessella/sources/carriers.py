@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 TEXT_WIDTH = 64
+PACKED = "image_id long, h int, w int, data binary"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,11 +27,15 @@ def glyph8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("image_id", "label", F.expr("cast(pos div 8 as int)").alias("y"), (F.col("pos") % 8).alias("x"), level.alias("v"))
 
 
+def _heat_cells(events: DataFrame) -> DataFrame:
+    cells = events.select(F.col("user_id").alias("image_id"), (F.dayofmonth("ts") - 1).alias("y"), F.hour("ts").alias("x"), F.floor("value").alias("f"))
+    return cells.groupBy("image_id", "y", "x").agg(F.least(F.lit(255), F.greatest(F.lit(0), F.sum("f"))).cast("int").alias("v"))
+
+
 def heat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per user 31 x 24 cells: day of month and hour, level = sum of whole values, 255 at most."""
     events = table(spark, sf_dir, "events")
-    cells = events.select(F.col("user_id").alias("image_id"), (F.dayofmonth("ts") - 1).alias("y"), F.hour("ts").alias("x"), F.floor("value").alias("f"))
-    seen = cells.groupBy("image_id", "y", "x").agg(F.least(F.lit(255), F.greatest(F.lit(0), F.sum("f"))).cast("int").alias("v"))
+    seen = _heat_cells(events)
     every = events.select(F.col("user_id").alias("image_id")).distinct().select("image_id", F.explode(F.expr("sequence(0, 30)")).alias("y")).select("image_id", "y", F.explode(F.expr("sequence(0, 23)")).alias("x"))
     return every.join(seen, ["image_id", "y", "x"], "left").fillna({"v": 0})
 
@@ -40,11 +46,47 @@ def rgb(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.selectExpr("l_orderkey image_id", "l_linenumber x", "cast(l_partkey % 256 as int) r", "cast(l_suppkey % 256 as int) g", "cast(l_orderkey % 256 as int) b")
 
 
+def _bytes(batches, make):
+    """Packed rows (image_id, h, w, data) of the rasters that `make` draws for each row of a batch."""
+    import pandas as pd
+
+    for pdf in batches:
+        drawn = [make(r) for r in pdf.itertuples(index=False)]
+        yield pd.DataFrame({"image_id": pdf["image_id"], "h": [a.shape[0] for a in drawn], "w": [a.shape[1] for a in drawn], "data": [a.tobytes() for a in drawn]})
+
+
 def packed(long: DataFrame) -> DataFrame:
-    """(image_id, h, w, data): row-major bytes of dense LONG rasters."""
-    ordered = F.array_sort(F.collect_list(F.struct("y", "x", "v")))
-    rows = long.groupBy("image_id").agg((F.max("y") + 1).alias("h"), (F.max("x") + 1).alias("w"), ordered.alias("cells"))
-    return rows.select("image_id", "h", "w", F.unhex(F.array_join(F.transform("cells", lambda c: F.lpad(F.hex(c["v"]), 2, "0")), "")).alias("data"))
+    """(image_id, h, w, data): row-major bytes of LONG rasters; cells that are absent are 0."""
+    cells = F.collect_list(F.struct("y", "x", "v"))
+    rows = long.groupBy("image_id").agg((F.max("y") + 1).cast("int").alias("h"), (F.max("x") + 1).cast("int").alias("w"), cells.alias("cells"))
+    return _densified(rows)
+
+
+def _densified(rows: DataFrame) -> DataFrame:
+    rows = rows.select("image_id", "h", "w", F.transform("cells", lambda c: c["y"].cast("int")).alias("y"), F.transform("cells", lambda c: c["x"].cast("int")).alias("x"), F.transform("cells", lambda c: c["v"].cast("int")).alias("v"))
+
+    def draw(r):
+        out = np.zeros((r.h, r.w), np.uint8)
+        out[r.y, r.x] = r.v
+        return out
+
+    return rows.mapInPandas(lambda batches: _bytes(batches, draw), PACKED)
+
+
+def heat_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The heat rasters, packed: the 744 cells at most that a user has are all that is gathered."""
+    seen = _heat_cells(table(spark, sf_dir, "events"))
+    return _densified(seen.groupBy("image_id").agg(F.lit(31).alias("h"), F.lit(24).alias("w"), F.collect_list(F.struct("y", "x", "v")).alias("cells")))
+
+
+def text_line(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole documents as packed rasters of one row, level = code point modulo 256; none for an empty text."""
+    docs = table(spark, sf_dir, "documents").where("text <> ''").select(F.col("doc_id").alias("image_id"), "text")
+
+    def draw(r):
+        return (np.frombuffer(r.text.encode("utf-32-le", "surrogatepass"), "<u4") % 256).astype(np.uint8)[None, :]
+
+    return docs.mapInPandas(lambda batches: _bytes(batches, draw), PACKED)
 
 
 def unpacked(df: DataFrame) -> DataFrame:
@@ -54,15 +96,43 @@ def unpacked(df: DataFrame) -> DataFrame:
     return cells.selectExpr("image_id", "cast(i div w as int) y", "cast(i % w as int) x", "cast(conv(d, 16, 10) as int) v")
 
 
+def draw_scene(key: int, h: int = 100, w: int = 200) -> np.ndarray:
+    """A plate of bars on a plain ground, by rule from `key`: every third is turned, every fourth
+    has two lines, every fifth is speckled, every seventh is small and bright on dark ground."""
+    from tessella.operators import kernels
+
+    rng = np.random.default_rng([17, key])
+    unit = h / 100
+    bright = key % 7 == 5 and h >= 200
+    ph, pw = (round(x * unit * (0.5 if bright else 1)) for x in ((44, 90) if key % 4 == 3 else (25, 90)))
+    out = np.full((h, w), 60 if bright else 200, np.uint8)
+    y0 = round((15 + key * 5 % 36) * unit)
+    x0 = min(w - pw - 5, round((20 + key * 7 % 80) * unit))
+    plate = np.full((ph, pw), 240, np.uint8)
+    lines = [(0.10, 0.44, 3), (0.54, 0.90, 4)] if key % 4 == 3 else [(0.20, 0.80, 7)]
+    for top, low, n in lines:
+        pitch = pw / (n + 0.6)
+        for i in range(n):
+            a = round(pitch * (i + 0.45))
+            plate[round(top * ph) : round(low * ph), a : a + max(3, round(pitch * 0.38))] = 30
+    out[y0 : y0 + ph, x0 : x0 + pw] = plate
+    if key % 3 == 1:
+        out = kernels.rotate(out, float(rng.uniform(-6, 6)), int(out[0, 0]))
+    if key % 5 == 2:
+        out = np.where(rng.random(out.shape) < 0.003, rng.integers(0, 256, out.shape), out).astype(np.uint8)
+    return out
+
+
 def scene(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Packed 100 x 200 scenes, a plate with seven bars for each nation."""
-    x0, y0 = F.expr("20 + (n_nationkey * 7) % 80"), F.expr("15 + (n_nationkey * 5) % 50")
-    rows = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("image_id"), x0.alias("x0"), y0.alias("y0"))
-    cells = rows.select("*", F.explode(F.expr("sequence(0, 99)")).alias("y")).select("*", F.explode(F.expr("sequence(0, 199)")).alias("x"))
-    dx, dy = F.col("x") - F.col("x0"), F.col("y") - F.col("y0")
-    plate = dx.between(0, 89) & dy.between(0, 24)
-    bar = plate & dy.between(5, 19) & (dx >= 5) & (dx < 5 + 12 * 7) & ((dx - 5) % 12 < 4)
-    return packed(cells.select("image_id", "y", "x", F.when(bar, 30).when(plate, 240).otherwise(200).alias("v")))
+    """Packed 100 x 200 scenes, one for each supplier."""
+    keys = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("long").alias("image_id")).repartition(spark.sparkContext.defaultParallelism, "image_id")
+    return keys.mapInPandas(lambda batches: _bytes(batches, lambda r: draw_scene(r.image_id)), PACKED)
+
+
+def large_scene(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Packed 768 x 1024 scenes, one for each nation."""
+    keys = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("image_id")).repartition(spark.sparkContext.defaultParallelism, "image_id")
+    return keys.mapInPandas(lambda batches: _bytes(batches, lambda r: draw_scene(r.image_id, 768, 1024)), PACKED)
 
 
 TEXTMAP_SQL = f"""textmap AS (SELECT image_id, CAST((p - 1) // {TEXT_WIDTH} AS INTEGER) AS y, CAST((p - 1) % {TEXT_WIDTH} AS INTEGER) AS x, CAST(unicode(c) % 256 AS INTEGER) AS v

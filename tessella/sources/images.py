@@ -10,6 +10,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+CHARS = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 PACKED = "image_id string, h int, w int, channels int, data binary"
 
 
@@ -159,7 +160,7 @@ def _stroke_font(ch: str) -> np.ndarray:
     return bits * 255
 
 
-def synthetic_glyphs(spark: SparkSession, chars: str = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ", per_class: int = 600, seed: int = 42, font: Callable[[str], np.ndarray] = _stroke_font) -> DataFrame:
+def synthetic_glyphs(spark: SparkSession, chars: str = CHARS, per_class: int = 600, seed: int = 42, font: Callable[[str], np.ndarray] = _stroke_font) -> DataFrame:
     """(sample_id, label, h, w, data): scaled, turned, blurred, speckled 32 x 32 glyphs, the same at every run."""
     from tessella.operators import kernels
 

@@ -49,5 +49,5 @@ def test_stage_files(spark, tmp_path):
 
     df = spark.createDataFrame([(1, 40, 60, bytearray(np.random.default_rng(0).integers(0, 256, 2400, np.uint8).tobytes()))], packed.PACKED)
     paths = demos.write_stages(demos.preprocess_stages(df).union(demos.detection_stages(df)), f"file://{tmp_path}").collect()
-    assert sorted(p.name for p in tmp_path.iterdir()) == [f"1_{s}.png" for s in ("binary", "blurred", "candidates", "enhanced", "gray", "strip")]
-    assert len(paths) == 7 and images.read_images(spark, str(tmp_path / "1_strip.png")).first().w == 4 * 60 + 3 * 4
+    assert sorted(p.name for p in tmp_path.iterdir()) == [f"1_{s}.png" for s in ("detection_candidates", "detection_enhanced", "preprocess_binary", "preprocess_blurred", "preprocess_enhanced", "preprocess_gray", "preprocess_strip")]
+    assert len(paths) == 7 and images.read_images(spark, str(tmp_path / "1_preprocess_strip.png")).first().w == 4 * 60 + 3 * 4
