@@ -28,6 +28,8 @@ SEED = 42
 HEAVY = 16
 BLOCK = 2048
 HOT = 500
+#: A key of fewer than this many rows over HOT is never worth a branch of its own.
+HOT_ROWS = 500_000
 FOUR_SEGMENTS = 1_000_000_000
 
 
@@ -171,7 +173,11 @@ def _joined(rows: DataFrame, values: DataFrame, key: str, total: int) -> DataFra
     """`rows` with the one row of `values` (which has n, its rows' number) for their key.
 
     A key with over 1 row in HOT of the `total` is dealt out by broadcast: there are fewer
-    than HOT of them. The others are shuffled."""
+    than HOT of them. The others are shuffled. `values` are held, so that the plan stays
+    short where no key is hot."""
+    values = durable(values)
+    if values.where(F.col("n") * HOT > max(total, HOT_ROWS)).isEmpty():
+        return rows.join(values.drop("n"), key)
     hot = F.broadcast(values.where(F.col("n") * HOT > total).drop("n"))
     rest = values.where(F.col("n") * HOT <= total).drop("n")
     return rows.join(hot, key).unionByName(rows.join(hot.select(key), key, "left_anti").join(rest, key))

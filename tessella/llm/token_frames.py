@@ -26,6 +26,7 @@ END_ID = 1
 SKIPPABLE_MAGIC = 0x184D2A5E
 SEEKABLE_MAGIC = 0x8F92EAB1
 CHECKSUM_FLAG = 0x80
+#: Pieces a worker keeps ids of, twice; a table only saves time.
 _CACHE_WORDS = 120_000
 #: A shard holds about so many bytes of text and rows at most: its seek table and ids are in memory.
 SHARD_BYTES, SHARD_ROWS = 256 << 20, 1 << 20
@@ -117,7 +118,7 @@ def _by_pieces(config: dict) -> bool:
 
 
 @cache
-def make_encoder(tokenizer_path: str):
+def make_encoder(tokenizer_path: str, cache_words: int = _CACHE_WORDS):
     """Texts -> ids as bytes. A tokenizer of another normaliser or splitter than the shortcuts
     know takes the library's whole way for every text. In this one white space never lies
     inside a token, so each distinct blank-separated piece is encoded once and a bounded cache serves the repeats. A piece of
@@ -175,10 +176,10 @@ def make_encoder(tokenizer_path: str):
         out = []
         for t in texts:
             out.append(b"".join(map(get, (t or "").replace("\n", " ").split(" "))) + end)
-            if len(pieces) > _CACHE_WORDS:
+            if len(pieces) > cache_words:
                 pieces.old = dict(pieces)
                 pieces.clear()
-            if len(cores) > _CACHE_WORDS:
+            if len(cores) > cache_words:
                 cores.clear()
         return out
 
@@ -209,7 +210,7 @@ def _in_order(docs: DataFrame, shards: int | None) -> DataFrame:
     return keyed.repartitionByRange(shards, "doc_id", "_head", "_text_hash").sortWithinPartitions("doc_id", "_head", "_text_hash", "text").select("doc_id", "text")
 
 
-def write_token_frames(docs: DataFrame, folder: str, tokenizer_path: str, shards: int | None = None, as_they_come: bool = False) -> DataFrame:
+def write_token_frames(docs: DataFrame, folder: str, tokenizer_path: str, shards: int | None = None, as_they_come: bool = False, cache_words: int = _CACHE_WORDS) -> DataFrame:
     """Write the documents in ascending doc_id order as shard files under `folder`.
 
     With `as_they_come` the partitions of `docs` are the shards and their order stays, so that
@@ -236,7 +237,7 @@ def write_token_frames(docs: DataFrame, folder: str, tokenizer_path: str, shards
         for batch in batches:
             for ids, texts in _pieces(batch):
                 if out is None:
-                    encode, out = make_encoder(tokenizer_path), _open(path, "w")
+                    encode, out = make_encoder(tokenizer_path, cache_words), _open(path, "w")
                     writer = FrameWriter(out)
                 for doc_id, raw in zip(ids, encode(texts), strict=True):
                     writer.add(doc_id, raw)
@@ -276,7 +277,7 @@ def read_token_frames(manifest: DataFrame) -> DataFrame:
     return placed.mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long, shard long, frame long")
 
 
-def token_frames(docs: DataFrame, tokenizer_path: str, as_they_come: bool = False) -> DataFrame:
+def token_frames(docs: DataFrame, tokenizer_path: str, as_they_come: bool = False, cache_words: int = _CACHE_WORDS) -> DataFrame:
     """Write `docs` to the shared folder and read the files back."""
     folder = shared_folder(docs.sparkSession, "token-frames")
-    return read_token_frames(write_token_frames(docs, folder, tokenizer_path, as_they_come=as_they_come))
+    return read_token_frames(write_token_frames(docs, folder, tokenizer_path, as_they_come=as_they_come, cache_words=cache_words))

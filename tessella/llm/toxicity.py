@@ -70,15 +70,24 @@ class FactorizationMachine:
 class _Rows:
     """Distinct terms of rows as one long list, with sums by row and by term."""
 
-    def __init__(self, rows: list[np.ndarray]):
-        self.n = len(rows)
-        self.terms, self.place = np.unique(np.concatenate(rows), return_inverse=True)
-        self.owner = np.repeat(np.arange(self.n), [len(r) for r in rows])
-
-    def keep(self, good: np.ndarray) -> None:
+    def __init__(self, n: int, terms: np.ndarray, place: np.ndarray, owner: np.ndarray):
+        self.n, self.terms, self.place, self.owner = n, terms, place, owner
+
+    @classmethod
+    def of(cls, rows: list[np.ndarray], support: int) -> _Rows:
+        """The terms that `support` rows hold."""
+        joined = np.concatenate(rows).astype(np.int32)
+        owner = np.repeat(np.arange(len(rows), dtype=np.int32), [len(r) for r in rows])
+        terms, count = np.unique(joined, return_counts=True)
+        terms = terms[count >= support]
+        place = np.searchsorted(terms, joined).astype(np.int32)
+        inside = place < len(terms)
+        inside[inside] = terms[place[inside]] == joined[inside]
+        return cls(len(rows), terms.astype(np.int64), place[inside], owner[inside])
+
+    def only(self, good: np.ndarray) -> _Rows:
         inside = good[self.place]
-        self.place, self.owner = (np.cumsum(good) - 1)[self.place[inside]], self.owner[inside]
-        self.terms = self.terms[good]
+        return _Rows(self.n, self.terms[good], (np.cumsum(good) - 1).astype(np.int32)[self.place[inside]], self.owner[inside])
 
     def by_row(self, values: np.ndarray) -> np.ndarray:
         """Per row the sum of `values` (one a term) over its terms."""
@@ -142,14 +151,12 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, seed: int = 7, steps: int =
     none = FactorizationMachine(np.empty(0, np.int64), float(np.log((positive + 1) / (n - positive + 1))), np.empty(0), np.empty((0, FACTORS)))
     if positive in (0, n):
         return none
-    x, rng = _Rows(rows), np.random.default_rng(seed)
-    x.keep(x.by_term(np.ones(n)) >= SUPPORT)
+    x, rng = _Rows.of(rows, SUPPORT), np.random.default_rng(seed)
     alone = _alone(x, y)
-    linear = _Rows(rows)
-    linear.keep(np.isin(linear.terms, x.terms[alone]))
+    linear = x.only(alone)
     bias, w, _ = _descend(linear, y, 0, rng, steps // 3)
     residual = y - 1 / (1 + np.exp(-np.clip(bias + linear.by_row(w), -30, 30)))
-    x.keep(alone | _paired(x, residual, rng))
+    x = x.only(alone | _paired(x, residual, rng))
     if not len(x.terms):
         return none
     return FactorizationMachine(x.terms, *_descend(x, y, FACTORS, rng, steps))
@@ -175,7 +182,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, most_terms
         return FactorizationMachine(np.empty(0, np.int64), 0.0, np.empty(0), np.empty((0, FACTORS)))
     got = sample.where(F.col("place") <= int(places[fits][-1])).select("label", "terms").toArrow()
     y = got.column("label").to_numpy()
-    x = [np.frombuffer(b.as_py(), "<i4").astype(np.int64) for b in got.column("terms")]
+    x = [np.frombuffer(b.as_py(), "<i4") for b in got.column("terms")]
     order = sorted(range(len(y)), key=lambda i: (x[i].tobytes(), y[i]))
     return fit([x[i] for i in order], y[order])
 
