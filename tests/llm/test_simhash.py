@@ -51,8 +51,12 @@ def test_links_miss_nothing(spark, segments):
     assert {x: got.get(x, x) for x in fps} == root
 
 
-def test_heavy_keys_and_a_hub(spark):
+@pytest.mark.parametrize("hot", [False, True])
+def test_heavy_keys_and_a_hub(spark, monkeypatch, hot):
     """5,000 fingerprints under one key, a chain of them and a hub with all its neighbours."""
+    if hot:  # the hubs go by broadcast
+        monkeypatch.setattr(simhash, "HOT", 20)
+        monkeypatch.setattr(simhash, "HOT_ROWS", 0)
     rng = np.random.default_rng(8)
     hub = int(rng.integers(0, 1 << 62))
     same_key = [hub ^ (int(x) << 40) for x in rng.choice(1 << 22, 4_400, replace=False)]
