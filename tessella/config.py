@@ -56,5 +56,6 @@ class Segmentation:
     area: tuple[float, float] = (0.001, 0.18)
     fill: tuple[float, float] = (0.08, 1.0)
     border: float = 0.015
+    reject_border: bool = True
     line_gap: float = 0.22
     fallback_height: float = 0.20

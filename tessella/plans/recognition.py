@@ -120,7 +120,7 @@ def recognize(df: DataFrame, model, plate_format: bool = False) -> DataFrame:
 def train_and_save(spark: SparkSession, glyphs: DataFrame, path: str, name: str, seed: int = 42, holdout: float = 0.2, **options) -> dict:
     """Trains a network, saves it with its report and returns the report."""
     model, accuracy = train(glyphs, holdout=holdout, seed=seed, **options)
-    report = {"source": name, "classes": len(model.classes), "holdout_accuracy": accuracy, "first_loss": model.losses[0], "last_loss": model.losses[-1], "seed": seed}
+    report = {"source": name, "n_classes": len(model.classes), "holdout_accuracy": accuracy, "first_loss": model.losses[0], "last_loss": model.losses[-1], "seed": seed}
     save_mlp(spark, model, path, report)
     return report
 
