@@ -125,15 +125,19 @@ def scan(docs: DataFrame) -> DataFrame:
     heads = first_words()
     texts = docs.select("doc_id", "text").where(F.col("text").rlike(heads))
 
-    def units(source: DataFrame, kind: str, found) -> DataFrame:
-        return source.select("doc_id", F.explode(found).alias("unit"), F.lit(kind).alias("kind")).where(F.col("unit").rlike(heads))
+    text, none = F.col("text"), F.array().cast("array<struct<kind:string,unit:string>>")
+    several, with_break = F.instr(text, "\n") > 0, text.rlike(PARAGRAPHS)
 
-    several = texts.where(F.instr("text", "\n") > 0)
-    with_break = several.where(F.col("text").rlike(PARAGRAPHS))
-    unit = units(texts, "line", F.split("text", "\n")).unionByName(units(several, "whole", F.array("text")))
-    unit = unit.unionByName(units(with_break, "block", F.split("text", PARAGRAPHS)).where(F.instr("unit", "\n") > 0))
+    def units(kind: str, found):
+        return F.transform(found, lambda u: F.struct(F.lit(kind).alias("kind"), u.alias("unit")))
+
+    paragraphs = F.filter(F.split(text, PARAGRAPHS), lambda u: F.instr(u, "\n") > 0)
     # A comment block of one paragraph is found as such; only others are made here.
-    unit = unit.unionByName(units(with_break, "block", F.regexp_extract_all("text", F.lit("(?dm)" + COMMENTS), F.lit(0))).where(F.trim(F.col("unit"), F.lit("\n")).rlike(PARAGRAPHS)))
+    comments = F.filter(F.regexp_extract_all(text, F.lit("(?dm)" + COMMENTS), F.lit(0)), lambda u: F.trim(u, F.lit("\n")).rlike(PARAGRAPHS))
+    whole = F.when(several, units("whole", F.array(text))).otherwise(none)
+    blocks = F.when(with_break, F.concat(units("block", paragraphs), units("block", comments))).otherwise(none)
+    every = F.concat(units("line", F.split(text, "\n")), whole, blocks)
+    unit = texts.select("doc_id", F.inline(F.filter(every, lambda u: u["unit"].rlike(heads))))
     form = unit.select("doc_id", "kind", canonical(F.col("unit")).alias("c")).where(F.col("c") != "")
     form = form.withColumn("n_chars", F.length("c")).where(F.col("n_chars") <= most).withColumn("digest", F.sha2("c", 256))
     hits = form.join(F.broadcast(known), ["n_chars", "digest"])
