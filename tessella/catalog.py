@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tessella.config import Detection
 from tessella.functions import text as T
 from tessella.operators import classify, kernels, packed
 from tessella.operators import relational as R
@@ -159,23 +160,35 @@ def w6(s, d):
     return packed.filtered(C.scene(s, d), kernels.clahe)
 
 
-_CLAHE = """p AS (SELECT a.image_id, ty, tx, b.v FROM (SELECT DISTINCT image_id FROM heat) a CROSS JOIN (VALUES (0), (1)) q(ty) CROSS JOIN (VALUES (0), (1)) r(tx) CROSS JOIN range(0, 16) i(dy) CROSS JOIN range(0, 12) j(dx)
-  JOIN heat b ON b.image_id = a.image_id AND b.y = CASE WHEN ty * 16 + dy > 30 THEN 60 - (ty * 16 + dy) ELSE ty * 16 + dy END AND b.x = tx * 12 + dx),
-n AS (SELECT image_id, ty, tx, v, least(count(*), 6) AS n, greatest(count(*) - 6, 0) AS over FROM p GROUP BY 1, 2, 3, 4),
-x AS (SELECT image_id, ty, tx, sum(over) AS over FROM n GROUP BY 1, 2, 3),
-l AS (SELECT x.image_id, x.ty, x.tx, lv AS v, coalesce(n, 0) + x.over // 256 + CASE WHEN lv < x.over % 256 THEN 1 ELSE 0 END AS n FROM x CROSS JOIN range(0, 256) g(lv) LEFT JOIN n ON n.image_id = x.image_id AND n.ty = x.ty AND n.tx = x.tx AND n.v = lv),
-u AS (SELECT image_id, ty, tx, v, round_even(CAST(sum(n) OVER (PARTITION BY image_id, ty, tx ORDER BY v) AS DOUBLE) * 255 / 192, 0) AS e FROM l),
-w AS (SELECT *, least(greatest(y / 16.0::DOUBLE - 0.5, 0), 1) AS fy, least(greatest(x / 12.0::DOUBLE - 0.5, 0), 1) AS fx FROM heat)
-SELECT w.image_id, w.y, w.x, CAST(round_even((a.e * (1 - fx) + b.e * fx) * (1 - fy) + (c.e * (1 - fx) + d.e * fx) * fy, 0) AS INTEGER) AS v FROM w
-JOIN u a ON a.image_id = w.image_id AND a.v = w.v AND a.ty = 0 AND a.tx = 0 JOIN u b ON b.image_id = w.image_id AND b.v = w.v AND b.ty = 0 AND b.tx = 1
-JOIN u c ON c.image_id = w.image_id AND c.v = w.v AND c.ty = 1 AND c.tx = 0 JOIN u d ON d.image_id = w.image_id AND d.v = w.v AND d.ty = 1 AND d.tx = 1"""
+def _clahe(src: str, out: str, th: int, tw: int, limit: int) -> str:
+    """Tiles of th x tw cells over 31 x 24, mirrored at the lower border, their histograms cut at `limit`."""
+    ny, nx, size = -(-31 // th), 24 // tw, th * tw
+    return f"""ti AS (SELECT a.image_id, ty, tx, b.v FROM (SELECT DISTINCT image_id FROM {src}) a CROSS JOIN range(0, {ny}) q(ty) CROSS JOIN range(0, {nx}) r(tx) CROSS JOIN range(0, {th}) i(dy) CROSS JOIN range(0, {tw}) j(dx)
+  JOIN {src} b ON b.image_id = a.image_id AND b.y = CASE WHEN ty * {th} + dy > 30 THEN 60 - (ty * {th} + dy) ELSE ty * {th} + dy END AND b.x = tx * {tw} + dx),
+tn AS (SELECT image_id, ty, tx, v, least(count(*), {limit}) AS n, greatest(count(*) - {limit}, 0) AS over FROM ti GROUP BY 1, 2, 3, 4),
+te AS (SELECT image_id, ty, tx, sum(over) AS over FROM tn GROUP BY 1, 2, 3),
+tl AS (SELECT te.image_id, te.ty, te.tx, lv AS v, coalesce(n, 0) + te.over // 256 + CASE WHEN lv < te.over % 256 THEN 1 ELSE 0 END AS n FROM te CROSS JOIN range(0, 256) g(lv) LEFT JOIN tn ON tn.image_id = te.image_id AND tn.ty = te.ty AND tn.tx = te.tx AND tn.v = lv),
+tu AS (SELECT image_id, ty, tx, v, round_even(CAST(sum(n) OVER (PARTITION BY image_id, ty, tx ORDER BY v) AS DOUBLE) * 255 / {size}, 0) AS e FROM tl),
+tw AS (SELECT *, least(greatest(y / {th}.0::DOUBLE - 0.5, 0), {ny - 1}) AS py, least(greatest(x / {tw}.0::DOUBLE - 0.5, 0), {nx - 1}) AS px FROM {src}),
+tp AS (SELECT image_id, y, x, v, CAST(floor(py) AS INTEGER) AS ty, CAST(floor(px) AS INTEGER) AS tx, py - floor(py) AS fy, px - floor(px) AS fx FROM tw),
+{out} AS (SELECT w.image_id, w.y, w.x, CAST(round_even((a.e * (1 - fx) + b.e * fx) * (1 - fy) + (c.e * (1 - fx) + d.e * fx) * fy, 0) AS INTEGER) AS v FROM tp w
+JOIN tu a ON a.image_id = w.image_id AND a.v = w.v AND a.ty = w.ty AND a.tx = w.tx JOIN tu b ON b.image_id = w.image_id AND b.v = w.v AND b.ty = w.ty AND b.tx = least(w.tx + 1, {nx - 1})
+JOIN tu c ON c.image_id = w.image_id AND c.v = w.v AND c.ty = least(w.ty + 1, {ny - 1}) AND c.tx = w.tx JOIN tu d ON d.image_id = w.image_id AND d.v = w.v AND d.ty = least(w.ty + 1, {ny - 1}) AND d.tx = least(w.tx + 1, {nx - 1}))"""
 
 
-@query("w6_clahe_cells", f"WITH {C.HEAT_SQL}, {_CLAHE}")
+@query("w6_clahe_cells", f"WITH {C.HEAT_SQL}, {_clahe('heat', 'en', 16, 12, 6)} SELECT * FROM en")
 def w6_cells(s, d):
     return packed.filtered_cells(C.heat_packed(s, d), lambda a: kernels.clahe(a, (2, 2), 8.0))
 
 
+_ENHANCED = f"{_TAPS}, {_pass('heat', 'x', 23, _GW, 'bx')}, {_pass('bx', 'y', 30, _GW, 'bxy')}, bl AS (SELECT image_id, y, x, CAST(round_even(v, 0) AS INTEGER) AS v FROM bxy), {_clahe('bl', 'en', 4, 3, 1)}"
+
+
+@query("g2_preprocess_cells", f"WITH {C.HEAT_SQL}, {_ENHANCED}, {_HIST.replace('textmap', 'en')}, {_OTSU} SELECT en.image_id, y, x, CASE WHEN en.v <= threshold THEN 255 ELSE 0 END AS v FROM en JOIN t USING (image_id)")
+def g2_cells(s, d):
+    return packed.filtered_cells(C.heat_packed(s, d), packed.preprocessed)
+
+
 _MASK = "b AS (SELECT image_id, y, x, CASE WHEN v > 0 THEN 255 ELSE 0 END AS v FROM heat)"
 
 
@@ -225,12 +238,17 @@ def w16(s, d):
     return R.row_runs(C.heat(s, d))
 
 
-_CC = """cells AS (SELECT image_id, y, x FROM heat WHERE v > 0),
+def _cc(source: str, lit: str, width: int) -> str:
+    """Components (table n) of the lit cells of a LONG table, numbered by their first cell in raster order."""
+    return f"""cells AS (SELECT image_id, y, x FROM {source} WHERE {lit}),
 reach(image_id, y, x, ry, rx) AS (SELECT image_id, y, x, y, x FROM cells UNION SELECT c.image_id, c.y, c.x, r.ry, r.rx FROM reach r JOIN cells c ON c.image_id = r.image_id AND abs(c.y - r.y) <= 1 AND abs(c.x - r.x) <= 1),
-l AS (SELECT image_id, y, x, min(ry * 24 + rx) AS root FROM reach GROUP BY 1, 2, 3),
+l AS (SELECT image_id, y, x, min(ry * {width} + rx) AS root FROM reach GROUP BY 1, 2, 3),
 n AS (SELECT *, dense_rank() OVER (PARTITION BY image_id ORDER BY root) AS label FROM l)"""
 
 
+_CC = _cc("heat", "v > 0", 24)
+
+
 @query("g1_connected_components", f"WITH RECURSIVE {C.HEAT_SQL}, {_CC} SELECT image_id, CAST(label AS INTEGER) AS label, min(x) AS x, min(y) AS y, max(x) - min(x) + 1 AS width, max(y) - min(y) + 1 AS height, count(*) AS area, avg(x) AS cx, avg(y) AS cy FROM n GROUP BY 1, 2")
 def g1(s, d):
     return packed.components(C.heat_packed(s, d))
@@ -248,9 +266,20 @@ def a3(s, d):
     return R.hough_votes(C.heat(s, d), [85.0, 87.5, 90.0, 92.5, 95.0], 31, 24).withColumn("rho", F.round("rho", 6))
 
 
-@query("g5_skew_angle")
+def _peaks(thetas: str, most: int) -> str:
+    """Peaks of the votes of the lit heat cells (table p): the greatest first, each clears 6 bins and 2 angles around it."""
+    return f"""a AS (SELECT k, {thetas} AS theta FROM range(0, 1000) r(k) WHERE {thetas} < 180),
+v AS (SELECT image_id, k, theta, CAST(round_even(round(x * cos(radians(theta)) + y * sin(radians(theta)) + sqrt(31.0 * 31 + 24.0 * 24), 9), 0) AS INTEGER) AS bin, count(*) AS votes FROM heat CROSS JOIN a WHERE v > 0 GROUP BY ALL HAVING count(*) >= 8),
+left_over AS (SELECT 1 AS step, * FROM v UNION ALL SELECT step + 1, image_id, k, theta, bin, votes FROM (SELECT *, first_value(bin) OVER w AS pb, first_value(k) OVER w AS pk FROM left_over WINDOW w AS (PARTITION BY image_id ORDER BY votes DESC, bin, k)) WHERE step < {most} AND (abs(bin - pb) > 6 OR abs(k - pk) > 2)),
+p AS (SELECT image_id, theta, bin, votes FROM (SELECT *, row_number() OVER (PARTITION BY image_id, step ORDER BY votes DESC, bin, k) AS r FROM left_over) WHERE r = 1)"""
+
+
+_SKEW = _peaks("75 + k * 0.5::DOUBLE", 5).replace("< 180", "<= 105")
+
+
+@query("g5_skew_angle", f"WITH RECURSIVE {C.HEAT_SQL}, {_SKEW} SELECT u.image_id, round(coalesce(sum((theta - 90) * votes) / sum(votes), 0), 9) AS angle FROM (SELECT DISTINCT image_id FROM heat) u LEFT JOIN p USING (image_id) GROUP BY 1")
 def g5(s, d):
-    return packed.skew(C.heat_packed(s, d))
+    return packed.skew(C.heat_packed(s, d)).withColumn("angle", F.round("angle", 9))
 
 
 @query("a4_zoning", f"WITH {C.GLYPH8_SQL} SELECT image_id, CAST(y // 2 * 4 + x // 2 AS INTEGER) AS zone, avg(CASE WHEN v > 127 THEN 1 ELSE 0 END) AS share FROM glyph8 GROUP BY 1, 2")
@@ -263,9 +292,18 @@ def a7(s, d):
     return C.heat(s, d).groupBy("image_id", "x").agg(F.count_if(F.col("v") > 0).alias("fg"))
 
 
-@query("g15_glyph_features")
+_HOG = """gr AS (SELECT image_id, y // 4 * 2 + x // 4 AS cell, (coalesce(lead(v) OVER r, v) - coalesce(lag(v) OVER r, v)) / 255.0::DOUBLE AS gx, (coalesce(lead(v) OVER c, v) - coalesce(lag(v) OVER c, v)) / 255.0::DOUBLE AS gy
+  FROM glyph8 WINDOW r AS (PARTITION BY image_id, y ORDER BY x), c AS (PARTITION BY image_id, x ORDER BY y)),
+an AS (SELECT image_id, cell, sqrt(gx * gx + gy * gy) AS m, fmod(degrees(atan2(gy, gx)) + 180, 180) / 20 AS turn FROM gr),
+pt AS (SELECT image_id, cell, CAST(floor(turn) AS INTEGER) % 9 AS bin, m * (1 - (turn - floor(turn))) AS h FROM an UNION ALL SELECT image_id, cell, (CAST(floor(turn) AS INTEGER) + 1) % 9, m * (turn - floor(turn)) FROM an),
+hs AS (SELECT image_id, cell * 9 + bin AS i, sum(h) AS h FROM pt GROUP BY 1, 2),
+hg AS (SELECT u.image_id, g.i, coalesce(h, 0) / sqrt(sum(coalesce(h * h, 0)) OVER (PARTITION BY u.image_id) + 1e-12) AS value FROM (SELECT DISTINCT image_id FROM glyph8) u CROSS JOIN range(0, 36) g(i) LEFT JOIN hs ON hs.image_id = u.image_id AND hs.i = g.i),
+zn AS (SELECT image_id, 36 + y // 2 * 4 + x // 2 AS i, avg(CASE WHEN v > 127 THEN 1 ELSE 0 END) AS value FROM glyph8 GROUP BY 1, 2)"""
+
+
+@query("g15_glyph_features", f"WITH {C.GLYPH8_SQL}, {_HOG} SELECT image_id, CAST(i AS INTEGER) AS i, round(value, 7) AS value FROM (SELECT * FROM hg UNION ALL SELECT * FROM zn)")
 def g15(s, d):
-    return packed.features(C.packed(C.glyph8(s, d).drop("label")))
+    return packed.feature_cells(C.packed(C.glyph8(s, d).drop("label"))).withColumn("value", F.round("value", 7))
 
 
 _VEC = "vec AS (SELECT image_id, label, list(v ORDER BY y, x) AS vec FROM glyph8 GROUP BY 1, 2)"
@@ -343,6 +381,20 @@ def g3(s, d):
     return packed.detect(C.scene(s, d))
 
 
+_EDGES = _SOBEL + ", ed AS (" + _peak("SELECT image_id, y, x, abs(CAST(v AS DOUBLE)) AS g FROM gx") + "), b AS (SELECT image_id, y, x, CASE WHEN v > floor(0.2::DOUBLE * max(v) OVER (PARTITION BY image_id)) THEN 255 ELSE 0 END AS v FROM ed)"
+_FOUND = """k AS (SELECT image_id, CAST(label AS INTEGER) AS label, min(x) AS x, min(y) AS y, max(x) - min(x) + 1 AS width, max(y) - min(y) + 1 AS height, count(*) AS area, avg(x) AS cx, avg(y) AS cy FROM n GROUP BY 1, 2),
+cd AS (SELECT k.*, width::DOUBLE / height AS aspect_ratio, area::DOUBLE / (width * height) AS fill_ratio, (SELECT count(*) FROM b WHERE b.image_id = k.image_id AND b.v > 0 AND b.x >= k.x AND b.x < k.x + k.width AND b.y >= k.y AND b.y < k.y + k.height)::DOUBLE / (width * height) AS gradient_density FROM k),
+sc AS (SELECT *, exp(-power(aspect_ratio - 3.5, 2) / 4.5) * least(1, (fill_ratio - 0.3) / 0.7) * least(1, (gradient_density - 0.1) / 0.4) AS score FROM cd
+  WHERE height >= 2 AND width >= 3 AND aspect_ratio BETWEEN 0.5 AND 6.5 AND width * height / 744.0::DOUBLE BETWEEN 0.005 AND 0.9 AND fill_ratio >= 0.3 AND gradient_density >= 0.1)"""
+
+
+@query("g3_detect_cells", f"WITH RECURSIVE {_EDGES}, {_CLOSE}, {_cc('c2', 'v > 0', 24)}, {_FOUND} SELECT image_id, label, x, y, width, height, area, aspect_ratio, fill_ratio, round(gradient_density, 9) AS gradient_density, round(score, 9) AS score FROM (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY round(score, 12) DESC, label) AS r FROM sc) WHERE r <= 5")
+def g3_cells(s, d):
+    cfg = Detection(closing=(3, 5), aspect=(0.5, 6.5), area=(0.005, 0.9), min_height=2, min_width=3)
+    found = packed.detect_in(C.heat_packed(s, d), cfg)
+    return found.drop("cx", "cy").withColumn("gradient_density", F.round("gradient_density", 9)).withColumn("score", F.round("score", 9))
+
+
 @query("g7_segment_characters")
 def g7(s, d):
     return packed.segment(packed.normalize(C.scene(s, d)))
@@ -366,13 +418,7 @@ def q2(s, d):
 @query("b1_preprocess_large")
 def b1(s, d):
     """Step 1 on 768 x 1024 images."""
-    from tessella.operators import plates
-
-    def make(a):
-        enhanced = plates.enhance(a)
-        return kernels.threshold(enhanced, kernels.otsu(enhanced), True)
-
-    return packed.filtered(C.large_scene(s, d), make)
+    return packed.filtered(C.large_scene(s, d), packed.preprocessed)
 
 
 @query("b2_detect_large")

@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tessella.catalog import _BLEND, _CC, _KNN, _PAIRS, _TPL, _VEC, _queries_and_all, query
+from tessella.catalog import _BLEND, _CC, _KNN, _PAIRS, _TPL, _VEC, _cc, _peaks, _queries_and_all, query
 from tessella.functions import text as T
 from tessella.operators import classify, kernels, packed, plates, reading
 from tessella.operators import relational as R
@@ -174,19 +174,15 @@ def x5(s, d):
 
 @query("g2_preprocess")
 def g2(s, d):
-    def make(a):
-        enhanced = plates.enhance(a)
-        return kernels.threshold(enhanced, kernels.otsu(enhanced), True)
+    return packed.filtered(C.scene(s, d), packed.preprocessed)
 
-    return packed.filtered(C.scene(s, d), make)
 
-
-@query("g4_hough_lines")
+@query("g4_hough_lines", f"WITH RECURSIVE {C.HEAT_SQL}, {_peaks('k::DOUBLE', 10)} SELECT image_id, round(bin - sqrt(31.0 * 31 + 24.0 * 24), 6) AS rho, theta, CAST(votes AS INTEGER) AS votes FROM p")
 def g4(s, d):
     def make(_, a):
         return [{"rho": r, "theta": t, "votes": v} for r, t, v in kernels.hough(a, np.arange(0, 180.0))]
 
-    return packed.rows(C.heat_packed(s, d), "image_id long, rho double, theta double, votes int", make)
+    return packed.rows(C.heat_packed(s, d), "image_id long, rho double, theta double, votes int", make).withColumn("rho", F.round("rho", 6))
 
 
 @query("p10_draw_candidates")
@@ -199,14 +195,38 @@ def p10(s, d):
     return packed.rows(C.scene(s, d), packed.PACKED, make)
 
 
-@query("t8_clean_glyph")
+@query("p10_draw_boxes", f"WITH RECURSIVE {_STATS}, e AS (SELECT DISTINCT h.image_id, h.y, h.x FROM heat h JOIN k ON h.image_id = k.image_id WHERE (h.x >= k.x AND h.x < k.x + k.width AND (h.y - k.y IN (0, 1) OR k.y + k.height - h.y IN (1, 2))) OR (h.y >= k.y AND h.y < k.y + k.height AND (h.x - k.x IN (0, 1) OR k.x + k.width - h.x IN (1, 2)))) SELECT h.image_id, h.y, h.x, CASE WHEN e.x IS NULL THEN h.v ELSE 0 END AS r, CASE WHEN e.x IS NULL THEN h.v ELSE 255 END AS g, CASE WHEN e.x IS NULL THEN h.v ELSE 0 END AS b FROM heat h LEFT JOIN e USING (image_id, y, x)")
+def p10_cells(s, d):
+    def make(_, a):
+        found = kernels.stats(*kernels.label(a))
+        out = reading.draw_boxes(a, [plates.coerce_box(c) for c in found])
+        return [{"y": y, "x": x, "r": int(r), "g": int(g), "b": int(b)} for y, line in enumerate(out) for x, (r, g, b) in enumerate(line)]
+
+    return packed.rows(C.heat_packed(s, d), "image_id long, y int, x int, r int, g int, b int", make)
+
+
+_LARGEST = """st AS (SELECT image_id, label, count(*) AS area, avg(x) AS cx, avg(y) AS cy FROM n GROUP BY 1, 2),
+best AS (SELECT image_id, label FROM (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY area - 0.12::DOUBLE * area * (abs(cx - 3.5) / 8 + abs(cy - 3.5) / 8) DESC, label) AS r FROM st) WHERE r = 1)"""
+
+
+@query("t8_clean_glyph", f"WITH RECURSIVE {C.GLYPH8_SQL}, {_cc('glyph8', 'v > 127', 8)}, {_LARGEST} SELECT g.image_id, g.y, g.x, CASE WHEN best.label IS NULL THEN 0 ELSE 255 END AS v FROM glyph8 g LEFT JOIN n USING (image_id, y, x) LEFT JOIN best ON best.image_id = g.image_id AND best.label = n.label")
 def t8(s, d):
-    return packed.filtered(C.packed(C.glyph8(s, d).drop("label")), lambda a: reading.largest_glyph(kernels.threshold(a, 127)))
+    return packed.filtered_cells(C.packed(C.glyph8(s, d).drop("label")), lambda a: reading.largest_glyph(kernels.threshold(a, 127)))
+
+
+_FIT = """m AS (SELECT image_id, y, x, CASE WHEN v > 127 THEN 255 ELSE 0 END AS v FROM glyph8),
+b AS (SELECT image_id, min(y) AS top, min(x) AS l, max(y) - min(y) AS dh, max(x) - min(x) AS dw FROM m WHERE v > 0 GROUP BY 1),
+f AS (SELECT *, CAST(round_even((dh + 1) * k, 0) AS INTEGER) AS h, CAST(round_even((dw + 1) * k, 0) AS INTEGER) AS w FROM (SELECT *, least(32.0::DOUBLE / (dh + 1), 32.0::DOUBLE / (dw + 1)) AS k FROM b)),
+p AS (SELECT *, CASE WHEN i = h - 1 THEN dh ELSE i * (dh::DOUBLE / (h - 1)) END AS sy, CASE WHEN j = w - 1 THEN dw ELSE j * (dw::DOUBLE / (w - 1)) END AS sx FROM f CROSS JOIN range(0, 32) a(i) CROSS JOIN range(0, 32) c(j) WHERE i < h AND j < w),
+q AS (SELECT *, CAST(floor(sy) AS INTEGER) AS y0, CAST(floor(sx) AS INTEGER) AS x0 FROM p),
+o AS (SELECT q.image_id, (32 - h) // 2 + i AS y, (32 - w) // 2 + j AS x, (m1.v * (1 - (sx - x0)) + m2.v * (sx - x0)) * (1 - (sy - y0)) + (m3.v * (1 - (sx - x0)) + m4.v * (sx - x0)) * (sy - y0) AS v FROM q
+  JOIN m m1 ON m1.image_id = q.image_id AND m1.y = top + y0 AND m1.x = l + x0 JOIN m m2 ON m2.image_id = q.image_id AND m2.y = top + y0 AND m2.x = l + least(x0 + 1, dw)
+  JOIN m m3 ON m3.image_id = q.image_id AND m3.y = top + least(y0 + 1, dh) AND m3.x = l + x0 JOIN m m4 ON m4.image_id = q.image_id AND m4.y = top + least(y0 + 1, dh) AND m4.x = l + least(x0 + 1, dw))"""
 
 
-@query("g11_normalize_character")
+@query("g11_normalize_character", f"WITH {C.GLYPH8_SQL}, {_FIT} SELECT u.image_id, CAST(ry AS INTEGER) AS y, CAST(rx AS INTEGER) AS x, CASE WHEN round_even(o.v, 0) > 127 THEN 255 ELSE 0 END AS v FROM (SELECT DISTINCT image_id FROM glyph8) u CROSS JOIN range(0, 32) a(ry) CROSS JOIN range(0, 32) c(rx) LEFT JOIN o ON o.image_id = u.image_id AND o.y = ry AND o.x = rx")
 def g11(s, d):
-    return packed.filtered(C.packed(C.glyph8(s, d).drop("label")), lambda a: kernels.fit_glyph(kernels.threshold(a, 127)))
+    return packed.filtered_cells(C.packed(C.glyph8(s, d).drop("label")), lambda a: kernels.fit_glyph(kernels.threshold(a, 127)))
 
 
 @query("s9_synthetic_glyphs")

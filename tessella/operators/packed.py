@@ -7,6 +7,7 @@ from collections.abc import Callable
 import numpy as np
 from pyspark.sql import DataFrame
 
+from tessella.config import Detection
 from tessella.operators import kernels as K
 from tessella.operators import plates, segmentation
 
@@ -73,6 +74,17 @@ def components(df: DataFrame, connectivity: int = 8) -> DataFrame:
     return rows(df, COMPONENT, lambda _, a: K.stats(*K.label(a, connectivity)))
 
 
+def preprocessed(a: np.ndarray) -> np.ndarray:
+    """Step 1: the enhanced raster, dark cells lit."""
+    enhanced = plates.enhance(a)
+    return K.threshold(enhanced, K.otsu(enhanced), True)
+
+
+def detect_in(enhanced: DataFrame, cfg: Detection) -> DataFrame:
+    """Candidates of rasters that are enhanced already."""
+    return rows(enhanced, CANDIDATE, lambda _, a: plates.detect(a, cfg))
+
+
 def detect(df: DataFrame) -> DataFrame:
     return rows(df, CANDIDATE, lambda _, a: plates.detect(plates.enhance(a)))
 
@@ -101,8 +113,14 @@ def skew(df: DataFrame) -> DataFrame:
     return rows(df, "image_id long, angle double", lambda _, a: [{"angle": K.skew(a)}])
 
 
-def features(df: DataFrame) -> DataFrame:
-    return rows(df, "image_id long, features array<float>", lambda _, a: [{"features": np.concatenate([K.hog(a, min(8, a.shape[0] // 2)), K.zoning(a)]).tolist()}])
+def feature_cells(df: DataFrame) -> DataFrame:
+    """Gradient histograms, then zones, one row a feature; cells are half a small raster's height."""
+
+    def make(_, a):
+        found = np.concatenate([K.hog(a, min(8, a.shape[0] // 2)), K.zoning(a)])
+        return [{"i": i, "value": float(v)} for i, v in enumerate(found)]
+
+    return rows(df, "image_id long, i int, value double", make)
 
 
 def read_plates(df: DataFrame) -> DataFrame:
