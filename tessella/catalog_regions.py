@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tessella.catalog import _BLEND, _CC, _KNN, _PAIRS, _TPL, _VEC, _cc, _peaks, _queries_and_all, query
 from tessella.functions import text as T
-from tessella.operators import classify, kernels, packed, plates, reading
+from tessella.operators import classify, kernels, packed, plates, reading, segmentation
 from tessella.operators import relational as R
 from tessella.sources import carriers as C
 from tessella.sources import images
@@ -229,6 +230,52 @@ def g11(s, d):
     return packed.filtered_cells(C.packed(C.glyph8(s, d).drop("label")), lambda a: kernels.fit_glyph(kernels.threshold(a, 127)))
 
 
+_CROSS = "(VALUES (0, 0), (-1, 0), (1, 0), (0, -1), (0, 1)) t(dy, dx)"
+
+
+@query("p17_cross_element", f"WITH {C.HEAT_SQL} SELECT a.image_id, a.y, a.x, CASE WHEN max(b.v) > 0 THEN 255 ELSE 0 END AS grown, CASE WHEN min(CASE WHEN a.y + dy BETWEEN 0 AND 30 AND a.x + dx BETWEEN 0 AND 23 THEN b.v ELSE 0 END) > 0 THEN 255 ELSE 0 END AS shrunk FROM heat a CROSS JOIN {_CROSS} JOIN heat b ON b.image_id = a.image_id AND b.y = 30 - abs(30 - abs(a.y + dy)) AND b.x = 23 - abs(23 - abs(a.x + dx)) GROUP BY 1, 2, 3")
+def p17(s, d):
+    def make(_, a):
+        grown, shrunk = (kernels.morph(a, kernels.cross(3), most) for most in (True, False))
+        return [{"y": y, "x": x, "grown": int(grown[y, x]), "shrunk": int(shrunk[y, x])} for y, x in np.ndindex(a.shape)]
+
+    return packed.rows(C.heat_packed(s, d), "image_id long, y int, x int, grown int, shrunk int", make)
+
+
+_MERGED = """col AS (SELECT image_id, x FROM heat WHERE v > 100 GROUP BY 1, 2),
+run AS (SELECT image_id, min(x) AS a, max(x) + 1 AS b, row_number() OVER (PARTITION BY image_id ORDER BY min(x)) AS i FROM (SELECT *, x - row_number() OVER (PARTITION BY image_id ORDER BY x) AS g FROM col) GROUP BY image_id, g),
+fold AS (SELECT image_id, i, a, b FROM run WHERE i = 1
+  UNION ALL SELECT r.image_id, r.i, CASE WHEN r.a - f.b <= 2 AND r.b - f.a <= 6 THEN f.a ELSE r.a END, r.b FROM fold f JOIN run r ON r.image_id = f.image_id AND r.i = f.i + 1)"""
+
+
+@query("w17_merged_runs", f"WITH RECURSIVE {C.HEAT_SQL}, {_MERGED} SELECT image_id, a AS x0, max(b) AS x1 FROM fold GROUP BY 1, 2")
+def w17(s, d):
+    def make(_, a):
+        return [{"x0": int(p), "x1": int(q)} for p, q in segmentation.merged_runs(segmentation.runs((a > 100).any(axis=0)), 10)]
+
+    return packed.rows(C.heat_packed(s, d), "image_id long, x0 int, x1 int", make)
+
+
+@query("p12_character_strip", f"WITH {C.GLYPH8_SQL} SELECT u.image_id, CAST(ry AS INTEGER) AS y, CAST(rx AS INTEGER) AS x, coalesce(g.v, 245) AS v FROM (SELECT DISTINCT image_id FROM glyph8) u CROSS JOIN range(0, 16) a(ry) CROSS JOIN range(0, 34) c(rx) LEFT JOIN glyph8 g ON g.image_id = u.image_id AND g.y = CASE WHEN rx < 16 THEN ry // 2 WHEN rx >= 24 AND ry BETWEEN 2 AND 13 THEN (ry - 2) // 2 END AND g.x = CASE WHEN rx < 16 THEN rx // 2 WHEN rx >= 24 THEN (rx - 24) // 2 END")
+def p12(s, d):
+    """A glyph beside its own first six rows and five columns."""
+    return packed.filtered_cells(C.packed(C.glyph8(s, d).drop("label")), lambda a: reading.character_strip([a, a[:6, :5]], scale=2)[..., 0])
+
+
+@query("p13_feature_preview", "WITH e AS (SELECT vec_id AS image_id, unnest(embedding)::FLOAT AS v, generate_subscripts(embedding, 1) AS p FROM embeddings) SELECT image_id, CAST(377 + p AS INTEGER) AS x, CAST(round_even(abs(v) / max(abs(v)) OVER (PARTITION BY image_id) * 112::FLOAT, 0) AS INTEGER) AS height FROM e")
+def p13(s, d):
+    """Heights of the bars of whole vectors, read from the picture."""
+    schema = "image_id long, x int, height int"
+
+    def run(batches):
+        for pdf in batches:
+            for image_id, vector in zip(pdf.image_id, pdf.vector, strict=True):
+                blue = (reading.feature_preview(vector) == (40, 95, 170)).all(axis=2).sum(axis=0)
+                yield pd.DataFrame({"image_id": image_id, "x": range(378, 378 + len(vector)), "height": blue[378 : 378 + len(vector)]})
+
+    return C.table(s, d, "embeddings").select(F.col("vec_id").alias("image_id"), F.col("embedding").alias("vector")).mapInPandas(run, schema)
+
+
 @query("s9_synthetic_glyphs")
 def s9(s, d):
     return images.synthetic_glyphs(s, per_class=20)
