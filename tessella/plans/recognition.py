@@ -130,9 +130,13 @@ def train_synthetic(spark: SparkSession, path: str, chars: str = images.CHARS, p
     return train_and_save(spark, images.synthetic_glyphs(spark, chars, per_class, seed), path, "synthetic", seed, epochs=epochs, batch=batch, rate=rate, hidden=hidden)
 
 
-def train_handwritten(spark: SparkSession, files: tuple[str, str, str], path: str, chars: str = images.CHARS, per_class: int = 120, epochs: int = 120, batch: int = 128, rate: float = 0.03, hidden: tuple = (128, 64), seed: int = 42) -> dict:
-    """The network for handwritten characters of IDX archives (images, labels, mapping)."""
-    return train_and_save(spark, images.emnist_rows(spark, *files, chars, per_class, seed), path, "handwritten", seed, epochs=epochs, batch=batch, rate=rate, hidden=hidden)
+def train_handwritten(spark: SparkSession, files: tuple[str, str, str] | str, path: str, chars: str = images.CHARS, per_class: int = 120, epochs: int = 120, batch: int = 128, rate: float = 0.03, hidden: tuple = (128, 64), seed: int = 42) -> dict:
+    """The network for handwritten characters of unpacked files (images, labels, mapping) or a zipped archive."""
+    if isinstance(files, str):
+        glyphs = images.emnist_archive(spark, files, chars, per_class=per_class, seed=seed)
+    else:
+        glyphs = images.emnist_rows(spark, *files, chars, per_class, seed)
+    return train_and_save(spark, glyphs, path, "handwritten", seed, epochs=epochs, batch=batch, rate=rate, hidden=hidden)
 
 
 def train_templates(spark: SparkSession, path: str, which: tuple, chars: str = images.CHARS, per_class: int | None = None, seed: int | None = None) -> Templates:

@@ -1,10 +1,14 @@
-"""Image files: the built-in image source, a PNG writer, label files, IDX archives, made-up glyphs."""
+"""Image files: the built-in image source, a PNG writer, label files, IDX files and archives, made-up glyphs."""
 
 from __future__ import annotations
 
+import gzip
+import io
 import struct
+import zipfile
 import zlib
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from functools import cache
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -12,6 +16,7 @@ from pyspark.sql import functions as F
 
 CHARS = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 PACKED = "image_id string, h int, w int, channels int, data binary"
+ITEMS = "sample_id long, item binary"
 
 
 def read_images(spark: SparkSession, path: str) -> DataFrame:
@@ -97,50 +102,114 @@ def read_labels(spark: SparkSession, path: str) -> DataFrame:
     return pairs.select("filename", normalize_label(F.col("label")).alias("expected"))
 
 
-def parse_idx(data: bytes) -> np.ndarray:
-    """Images (magic 2051) or labels (2049), big-endian; the count must agree."""
-    magic, n = struct.unpack_from(">II", data)
-    if magic == 2051:
-        h, w = struct.unpack_from(">II", data, 8)
-        body, shape = data[16:], (n, h, w)
-    elif magic == 2049:
-        body, shape = data[8:], (n,)
-    else:
+def _idx_header(stream) -> tuple[int, tuple[int, ...]]:
+    """How many items follow, and the shape of each: images (magic 2051) or labels (2049), big-endian."""
+    magic, n = struct.unpack(">II", stream.read(8))
+    if magic not in (2049, 2051):
         raise ValueError("neither images nor labels")
-    if len(body) != int(np.prod(shape)):
+    return n, struct.unpack(">II", stream.read(8)) if magic == 2051 else ()
+
+
+def idx_blocks(stream, rows: int = 4096) -> Iterator[tuple[int, np.ndarray]]:
+    """(place of the first, items) of a stream, at most `rows` at a time; the count must agree."""
+    n, shape = _idx_header(stream)
+    size = int(np.prod(shape))
+    for first in range(0, n, rows):
+        part = stream.read(size * min(rows, n - first))
+        if len(part) != size * min(rows, n - first):
+            raise ValueError("the file does not hold as many items as it says")
+        yield first, np.frombuffer(part, np.uint8).reshape(-1, *shape)
+    if stream.read(1):
         raise ValueError("the file does not hold as many items as it says")
-    return np.frombuffer(body, np.uint8).reshape(shape)
+
+
+def parse_idx(data: bytes) -> np.ndarray:
+    n, shape = _idx_header(io.BytesIO(data))
+    blocks = [a for _, a in idx_blocks(io.BytesIO(data), max(1, n))]
+    return blocks[0] if blocks else np.empty((0, *shape), np.uint8)
 
 
 def parse_mapping(text: str) -> dict[int, str]:
     return {int(i): chr(int(c)) for i, c in (line.split()[:2] for line in text.splitlines() if line.strip())}
 
 
-def emnist_rows(spark: SparkSession, images: str, labels: str, mapping: str, chars: str, per_class: int | None = 300, seed: int = 42) -> DataFrame:
-    """(sample_id, label, h, w, data): wanted characters, at most `per_class` of each by hash order,
-    transposed and fitted to 32 x 32, in a seeded order."""
-    from pyspark.sql import Window
+def _item_frames(stream):
+    import pandas as pd
 
-    from tessella.operators import kernels
+    for first, a in idx_blocks(stream):
+        yield pd.DataFrame({"sample_id": range(first, first + len(a)), "item": [x.tobytes() for x in a]})
 
-    def items(batches):
-        import pandas as pd
 
+def emnist_rows(spark: SparkSession, images: str, labels: str, mapping: str, chars: str, per_class: int | None = 300, seed: int = 42) -> DataFrame:
+    """`wanted_glyphs` of three unpacked files."""
+
+    def items(batches):
         for pdf in batches:
             for content in pdf["content"]:
-                a = parse_idx(content)
-                yield pd.DataFrame({"sample_id": range(len(a)), "item": [x.tobytes() for x in a]})
+                yield from _item_frames(io.BytesIO(content))
 
     def load(path):
-        return spark.read.format("binaryFile").load(path).select("content").mapInPandas(items, "sample_id long, item binary")
+        return spark.read.format("binaryFile").load(path).select("content").mapInPandas(items, ITEMS)
+
+    return wanted_glyphs(load(images), load(labels), spark.read.text(mapping), chars, per_class, seed)
+
+
+def archive_members(split: str = "byclass", train: bool = True) -> dict[str, str]:
+    """Names of the members of a zipped archive that hold one part of a split."""
+    start = f"gzip/emnist-{split}"
+    part = f"{start}-{'train' if train else 'test'}"
+    return {"images": f"{part}-images-idx3-ubyte.gz", "labels": f"{part}-labels-idx1-ubyte.gz", "mapping": f"{start}-mapping.txt"}
+
+
+def emnist_archive(spark: SparkSession, archive: str, chars: str = CHARS, split: str = "byclass", train: bool = True, per_class: int | None = 300, seed: int = 42) -> DataFrame:
+    """`wanted_glyphs` of one part of a zipped archive, at a path that Arrow's file systems reach.
+
+    A packed member can be read from its start alone, so one task streams it, in blocks; a
+    missing archive or member is an error."""
+    members = archive_members(split, train)
 
-    names = spark.read.text(mapping).select(F.split(F.trim("value"), r"\s+").alias("p")).select(F.col("p")[0].cast("int").alias("k"), F.expr("chr(cast(p[1] as int))").alias("label"))
+    def opened(batches, member):
+        from pyarrow import fs
+
+        for pdf in batches:
+            for uri in pdf["archive"]:
+                store, path = fs.FileSystem.from_uri(uri)
+                with store.open_input_file(path) as whole, zipfile.ZipFile(whole) as names, names.open(member) as packed:
+                    yield packed
+
+    def items(member):
+        def run(batches):
+            for packed in opened(batches, member):
+                with gzip.open(packed) as stream:
+                    yield from _item_frames(stream)
+
+        return run
+
+    def lines(batches):
+        import pandas as pd
+
+        for packed in opened(batches, members["mapping"]):
+            yield pd.DataFrame({"value": packed.read().decode("utf-8").splitlines()})
+
+    one = spark.createDataFrame([(archive,)], "archive string")
+    load = {kind: one.mapInPandas(items(members[kind]), ITEMS) for kind in ("images", "labels")}
+    return wanted_glyphs(load["images"], load["labels"], one.mapInPandas(lines, "value string"), chars, per_class, seed)
+
+
+def wanted_glyphs(items: DataFrame, labels: DataFrame, mapping: DataFrame, chars: str, per_class: int | None, seed: int) -> DataFrame:
+    """(sample_id, label, h, w, data): wanted characters, at most `per_class` of each by hash order,
+    transposed and fitted to 32 x 32, in a seeded order."""
+    from pyspark.sql import Window
+
+    from tessella.operators import kernels
+
+    names = mapping.where(F.trim("value") != "").select(F.split(F.trim("value"), r"\s+").alias("p")).select(F.col("p")[0].cast("int").alias("k"), F.expr("chr(cast(p[1] as int))").alias("label"))
     names = names.where(F.col("label").isin(list(chars)))
-    of = load(labels).select("sample_id", F.conv(F.hex("item"), 16, 10).cast("int").alias("k")).join(names, "k")
+    of = labels.select("sample_id", F.conv(F.hex("item"), 16, 10).cast("int").alias("k")).join(names, "k")
     if per_class is not None:
         order = Window.partitionBy("label").orderBy(F.xxhash64("sample_id", F.lit(seed)), "sample_id")
         of = of.withColumn("r", F.row_number().over(order)).where(F.col("r") <= per_class)
-    both = load(images).join(of.select("sample_id", "label"), "sample_id")
+    both = items.join(of.select("sample_id", "label"), "sample_id")
 
     def fit(batches):
         for pdf in batches:
@@ -151,19 +220,78 @@ def emnist_rows(spark: SparkSession, images: str, labels: str, mapping: str, cha
     return both.mapInPandas(fit, "sample_id long, label string, h int, w int, data binary").orderBy(F.xxhash64("sample_id", F.lit(seed + 1)))
 
 
-def _stroke_font(ch: str) -> np.ndarray:
-    """A 7 x 5 pattern for a character, made by rule from its code: distinct, connected at the left bar."""
-    code = (ord(ch) * 2654435761) & 0xFFFFFFFF
-    bits = np.array([(code >> (i % 32)) & 1 for i in range(35)], np.uint8).reshape(7, 5)
-    bits[:, 0] = 1
-    bits[3] = 1
-    return bits * 255
-
-
-def synthetic_glyphs(spark: SparkSession, chars: str = CHARS, per_class: int = 600, seed: int = 42, font: Callable[[str], np.ndarray] = _stroke_font) -> DataFrame:
-    """(sample_id, label, h, w, data): scaled, turned, blurred, speckled 32 x 32 glyphs, the same at every run."""
+# The bars of a fourteen-bar display that show each character, and the ends of each
+# bar on a lattice of three by three points (column, row).
+BARS = {
+    "0": "abcdefkl", "1": "bck", "2": "abdegh", "3": "abcdh", "4": "bcfgh", "5": "adfgn", "6": "acdefgh", "7": "abc", "8": "abcdefgh",
+    "9": "abcdfgh", "A": "abcefgh", "B": "abcdhjm", "C": "adef", "D": "abcdjm", "E": "adefgh", "F": "aefg", "G": "acdefh", "H": "bcefgh",
+    "I": "adjm", "J": "bcde", "K": "efgkn", "L": "def", "M": "bcefik", "N": "bcefin", "O": "abcdef", "P": "abefgh", "Q": "abcdefn",
+    "R": "abefghn", "S": "acdfgh", "T": "ajm", "U": "bcdef", "V": "efkl", "W": "bcefln", "X": "ikln", "Y": "ikm", "Z": "adkl",
+}
+ENDS = {
+    "a": (0, 0, 2, 0), "b": (2, 0, 2, 1), "c": (2, 1, 2, 2), "d": (0, 2, 2, 2), "e": (0, 1, 0, 2), "f": (0, 0, 0, 1), "g": (0, 1, 1, 1),
+    "h": (1, 1, 2, 1), "i": (0, 0, 1, 1), "j": (1, 0, 1, 1), "k": (2, 0, 1, 1), "l": (1, 1, 0, 2), "m": (1, 1, 1, 2), "n": (1, 1, 2, 2),
+}
+
+
+@cache
+def bar_font(ch: str) -> np.ndarray:
+    """A character as 29 x 21 levels: all cells within two of one of its bars."""
+    y, x = np.mgrid[:29, :21]
+    near = np.zeros(y.shape, bool)
+    for bar in BARS[ch]:
+        x0, y0, x1, y1 = np.array(ENDS[bar]) * (8, 12, 8, 12) + 2
+        along = np.clip(((x - x0) * (x1 - x0) + (y - y0) * (y1 - y0)) / ((x1 - x0) ** 2 + (y1 - y0) ** 2), 0, 1)
+        near |= np.hypot(x - x0 - along * (x1 - x0), y - y0 - along * (y1 - y0)) <= 2
+    return near * np.uint8(255)
+
+
+# Fixed values of the augmentation: ranges of size, width, height, turn, slant, blur and level,
+# the spread of the centre, choices of stroke and of growing or thinning, shares of specks.
+CANVAS = 80
+SIZE, WIDTH, HEIGHT = (42, 62), (0.72, 1.28), (0.82, 1.16)
+TURN, SLANT, CENTRE = 10.0, 0.16, 2.8
+STROKES = (0, 0, 0, 1, 1, 2)
+SOFTENED, SOFTNESS = 0.45, (0.15, 1.0)
+LEVELS = (70, 150)
+CHANGES = ("none", "none", "none", "dilate", "dilate", "erode")
+SPECKLED, SPECKS = 0.45, 0.0015
+
+
+def augmented(pattern: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """One 32 x 32 glyph from a character's pattern.
+
+    Size, place, proportions, turn and slant are one affine map, so that the pattern is
+    sampled once; stroke, blur, level, thickness and specks follow."""
     from tessella.operators import kernels
 
+    high = int(rng.integers(*SIZE))
+    wide = max(1, round(high * 0.7))
+    place, turn, slant = rng.normal(0, CENTRE, 2), np.deg2rad(rng.uniform(-TURN, TURN)), rng.uniform(-SLANT, SLANT)
+    scale = np.diag([rng.uniform(*WIDTH), rng.uniform(*HEIGHT)])
+    turned = np.array([[np.cos(turn), np.sin(turn)], [-np.sin(turn), np.cos(turn)]])
+    back = np.linalg.inv(np.array([[1.0, slant], [0.0, 1.0]]) @ turned @ scale)
+    big = np.pad(kernels.resize(pattern, (high, wide), 0), 2 * max(STROKES))
+    stroke = 2 * int(rng.choice(STROKES)) + 1
+    big = kernels.dilate(big, stroke, stroke)
+    y, x = np.mgrid[:CANVAS, :CANVAS] - (CANVAS - 1) / 2
+    xs = back[0, 0] * x + back[0, 1] * y - place[0] + (big.shape[1] - 1) / 2
+    ys = back[1, 0] * x + back[1, 1] * y - place[1] + (big.shape[0] - 1) / 2
+    a = kernels.bilinear(big, xs, ys, 0)
+    if rng.random() < SOFTENED:
+        a = kernels.blur(a, 5, float(rng.uniform(*SOFTNESS)))
+    a = kernels.threshold(a, int(rng.integers(*LEVELS)))
+    change = rng.choice(CHANGES)
+    if change != "none":
+        a = (kernels.dilate if change == "dilate" else kernels.erode)(a, 2, 2)
+    if rng.random() < SPECKLED:
+        speck = rng.random(a.shape)
+        a = np.where(speck < SPECKS, 255, np.where(speck > 1 - SPECKS, 0, a)).astype(np.uint8)
+    return kernels.fit_glyph(a)
+
+
+def synthetic_glyphs(spark: SparkSession, chars: str = CHARS, per_class: int = 600, seed: int = 42, font: Callable[[str], np.ndarray] = bar_font) -> DataFrame:
+    """(sample_id, label, h, w, data): augmented 32 x 32 glyphs, the same at every run."""
     n = len(chars) * per_class
     ids = spark.range(n).withColumn("label", F.element_at(F.array(*[F.lit(c) for c in chars]), (F.col("id") % len(chars) + 1).cast("int")))
 
@@ -171,19 +299,7 @@ def synthetic_glyphs(spark: SparkSession, chars: str = CHARS, per_class: int = 6
         import pandas as pd
 
         for pdf in batches:
-            out = []
-            for i, ch in zip(pdf["id"], pdf["label"], strict=True):
-                rng = np.random.default_rng([seed, int(i)])
-                size = int(rng.integers(42, 62))
-                a = kernels.resize(font(ch), (max(8, int(size * rng.uniform(0.82, 1.16))), max(6, int(0.7 * size * rng.uniform(0.72, 1.28)))), 0)
-                a = kernels.rotate(np.pad(a, 12), rng.uniform(-10, 10), 0)
-                if rng.random() < 0.45:
-                    a = kernels.blur(a, 3, 1.0)
-                a = kernels.threshold(a, int(rng.integers(70, 150)))
-                a = kernels.dilate(a, 2, 2) if rng.random() < 0.3 else a
-                if rng.random() < 0.45:
-                    a = np.where(rng.random(a.shape) < 0.01, 255 - a, a).astype(np.uint8)
-                out.append((i, ch, 32, 32, kernels.fit_glyph(a).tobytes()))
+            out = [(i, ch, 32, 32, augmented(font(ch), np.random.default_rng([seed, int(i)])).tobytes()) for i, ch in zip(pdf["id"], pdf["label"], strict=True)]
             yield pd.DataFrame(out, columns=["sample_id", "label", "h", "w", "data"])
 
     return ids.mapInPandas(run, "sample_id long, label string, h int, w int, data binary").orderBy(F.xxhash64("sample_id", F.lit(seed)))
