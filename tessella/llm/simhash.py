@@ -135,11 +135,17 @@ def _block_edges(pdf):
     return pd.DataFrame({"a": both[to != both], "b": to[to != both]})
 
 
+def _merged(df: DataFrame) -> DataFrame:
+    return df.hint("merge")
+
+
 def links(fps: DataFrame, segments: int = 4) -> DataFrame:
     """Edges (a, b) that connect all distinct fingerprints within three bits of each other.
 
     Both kinds of keys cross the network once. Keys under which many are filed are counted
-    first; their rows, and no others, go blockwise: a block pair holds BLOCK rows of each side."""
+    first; their rows, and no others, go blockwise: a block pair holds BLOCK rows of each side.
+    Spark takes the expanded rows for as few as the fingerprints they come from and would
+    broadcast them whole, so joins of them are merged unless the other side is counted."""
     # The expansion is fifty rows for one, so it starts from evenly dealt fingerprints.
     even = fps.select("fp").repartition(shuffle_partitions(fps.sparkSession), "fp")
     filed, sought = fuzzy_keys(even, segments, False), fuzzy_keys(even, segments, True)
@@ -147,18 +153,17 @@ def links(fps: DataFrame, segments: int = 4) -> DataFrame:
     keys = heavy.count()
     if keys:
         named = heavy.select("key", F.ceil(F.col("n") / BLOCK).cast("long").alias("filed_blocks"))
-        few = F.broadcast if keys <= BROADCAST_IDS else lambda df: df
+        few = F.broadcast if keys <= BROADCAST_IDS else _merged
         light = filed.join(few(named.select("key")), "key", "left_anti")
     else:
         light = filed
-    pairs = light.withColumnRenamed("fp", "b").join(sought.withColumnRenamed("fp", "a"), "key")
+    pairs = light.withColumnRenamed("fp", "b").join(_merged(sought.withColumnRenamed("fp", "a")), "key")
     edges = pairs.where((F.col("b") < F.col("a")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= MAX_BITS)).select("a", "b")
     if not keys:
         return edges.distinct()
     near = durable(sought.join(few(named), "key"))
     seekers = near.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("long").alias("sought_blocks"))
-    if keys <= BROADCAST_IDS:
-        seekers = F.broadcast(seekers)
+    seekers = few(seekers)
     block = F.pmod(F.xxhash64("fp"), F.col("blocks"))
     every = F.expr("sequence(0L, others - 1L)")
     mine = filed.join(few(named), "key").join(seekers, "key").withColumnsRenamed({"filed_blocks": "blocks", "sought_blocks": "others"})

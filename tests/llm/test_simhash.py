@@ -74,6 +74,23 @@ def test_heavy_keys_and_a_hub(spark, monkeypatch, hot):
     assert [got.get(int(x), int(x)) for x in fps] == [int(fps[k]) for k in label]
 
 
+@pytest.mark.parametrize("heavy", [False, True])
+def test_expanded_rows_are_never_broadcast(spark, monkeypatch, heavy):
+    """Neither side of the keys' joins, however few the fingerprints look to Spark."""
+    monkeypatch.setattr(simhash, "BROADCAST_IDS", 0)
+    if heavy:  # keys of two fingerprints go blockwise
+        monkeypatch.setattr(simhash, "HEAVY", 1)
+    fps = [x << 20 for x in range(12)]
+    found = simhash.links(spark.createDataFrame([(x,) for x in fps], "fp long"))
+    linked = {tuple(sorted(r)) for r in found.collect()}
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastExchange" not in plan and ("FlatMapGroupsInPandas" in plan) == heavy
+    if not heavy:
+        assert linked == {(a, b) for a in fps for b in fps if a < b and (a ^ b).bit_count() <= 3}
+    got = {r.node: r.root for r in simhash.components(found).collect()}
+    assert [got[x] for x in fps] == [0] * 12
+
+
 def test_whole_operator_against_brute_force(spark):
     words = "alpha beta gamma delta epsilon zeta eta theta iota kappa".split()
     rng = np.random.default_rng(1)
