@@ -1,6 +1,7 @@
 import random
 
 import corpus_pipeline
+from tessella.llm import simhash
 
 SCHEMA = "doc_id long, text string, source string"
 RNG = random.Random(4)
@@ -49,3 +50,22 @@ def test_toxic_rows_take_no_others_along(spark, tmp_path):
     docs = folder(spark, str(tmp_path), [(d, t, "a") for d, t in bad + good + rows], labels)
     got = [r for r in left(corpus_pipeline.drop_toxic(spark, docs, str(tmp_path))) if r[0] is None or r[0] < 100]
     assert got == sorted([(None, X), (2, Y), (None, Z)], key=str)
+
+
+def test_near_duplicate_stage_broadcasts_no_expanded_keys(spark, monkeypatch):
+    """Whatever Spark thinks of the keys' number, the driver gets none of them."""
+    plans = []
+
+    def held(df):
+        out = durable(df)
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return out
+
+    durable = simhash.durable
+    monkeypatch.setattr(simhash, "durable", held)
+    texts = [prose() for _ in range(12)]
+    docs = spark.createDataFrame([(i, texts[i // 2]) for i in range(24)], "doc_id long, text string")
+    kept = corpus_pipeline.drop_near_duplicates(spark, docs, "")
+    assert sorted(r.doc_id for r in kept.select("doc_id").collect()) == list(range(0, 24, 2))
+    joined = [p for p in plans if "MapInArrow" in p and "Join" in p]
+    assert joined and not any("BroadcastExchange" in p for p in joined)
