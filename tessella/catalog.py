@@ -263,7 +263,7 @@ def f1(s, d):
 
 @query("a3_hough_votes", f"WITH {C.HEAT_SQL}, b AS (SELECT image_id, theta, CAST(round_even(round(x * cos(radians(theta)) + y * sin(radians(theta)) + sqrt(31.0 * 31 + 24.0 * 24), 9), 0) AS INTEGER) AS bin, count(*) AS votes FROM heat CROSS JOIN (VALUES (85.0::DOUBLE), (87.5), (90.0), (92.5), (95.0)) t(theta) WHERE v > 0 GROUP BY 1, 2, 3) SELECT image_id, theta, bin, round(bin - sqrt(31.0 * 31 + 24.0 * 24), 6) AS rho, votes FROM b")
 def a3(s, d):
-    return R.hough_votes(C.heat(s, d), [85.0, 87.5, 90.0, 92.5, 95.0], 31, 24).withColumn("rho", F.round("rho", 6))
+    return R.hough_votes(C.heat_lit(s, d), [85.0, 87.5, 90.0, 92.5, 95.0], 31, 24).withColumn("rho", F.round("rho", 6))
 
 
 def _peaks(thetas: str, most: int) -> str:

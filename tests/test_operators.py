@@ -1,6 +1,7 @@
 import numpy as np
 import pytest
 
+from tessella import catalog
 from tessella.operators import classify, kernels as K, models, packed, plates, reading, segmentation as S
 from tessella.operators import relational as R
 from tessella.sources import carriers, images
@@ -218,3 +219,26 @@ def test_elements():
     for bad in (1, 2, 4):
         with pytest.raises(ValueError):
             K.cross(bad)
+
+
+def odd_events(spark, folder):
+    """Two users, and rows without user, time or value, of cells that are negative, zero and over 255."""
+    rows = [(1, "2024-01-01 00:10:00", 3.5), (1, "2024-01-01 00:20:00", 400.0), (1, "2024-01-31 23:00:00", 0.5), (1, "2024-01-02 01:00:00", 7.0), (1, "2024-01-02 02:00:00", 1.0), (2, "2024-02-03 05:00:00", -4.0), (2, "2024-02-04 06:00:00", None), (2, "2024-02-05 07:00:00", 9.0), (2, None, 9.0), (None, "2024-01-01 00:10:00", 9.0)]
+    events = spark.createDataFrame(rows, "user_id long, ts string, value double")
+    events.selectExpr("user_id", "cast(ts as timestamp_ntz) ts", "value").write.parquet(f"{folder}/events.parquet")
+    return str(folder)
+
+
+def test_lit_heat_is_heat_without_zeros(spark, tmp_path):
+    sf = odd_events(spark, tmp_path)
+    lit, whole = carriers.heat_lit(spark, sf), carriers.heat(spark, sf)
+    assert sorted(map(tuple, lit.collect())) == sorted(map(tuple, whole.where("v > 0").select(lit.columns).collect()))
+    assert lit.count() == 4 and whole.where("image_id is not null").count() == 2 * 744
+
+
+@pytest.mark.parametrize("name", ["a3_hough_votes"])
+def test_no_grid_is_broadcast(spark, tmp_path, name):
+    sf = odd_events(spark, tmp_path)
+    got = catalog.QUERIES[name](spark, sf)
+    got.collect()
+    assert "BroadcastExchange" not in got._jdf.queryExecution().executedPlan().toString()
