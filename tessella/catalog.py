@@ -235,7 +235,7 @@ _RUNS = "r AS (SELECT image_id, y, min(x) AS x0, max(x) + 1 AS x1 FROM (SELECT *
 
 @query("w16_row_runs", f"WITH {C.HEAT_SQL}, {_RUNS} SELECT * FROM r")
 def w16(s, d):
-    return R.row_runs(C.heat(s, d))
+    return R.row_runs(C.heat_lit(s, d))
 
 
 def _cc(source: str, lit: str, width: int) -> str:

@@ -236,7 +236,7 @@ def test_lit_heat_is_heat_without_zeros(spark, tmp_path):
     assert lit.count() == 4 and whole.where("image_id is not null").count() == 2 * 744
 
 
-@pytest.mark.parametrize("name", ["a3_hough_votes"])
+@pytest.mark.parametrize("name", ["a3_hough_votes", "w16_row_runs"])
 def test_no_grid_is_broadcast(spark, tmp_path, name):
     sf = odd_events(spark, tmp_path)
     got = catalog.QUERIES[name](spark, sf)
