@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.llm import decontaminate, mixing, simhash, token_frames, toxicity
-from tessella.llm.common import BROADCAST_IDS, durable, ids_side, shared_folder, table
+from tessella.llm.common import BROADCAST_IDS, durable, shared_folder, table
 from tessella.ship import ship
 
 TOKENIZER = "word_bpe_49k.json"
@@ -35,9 +35,16 @@ def _rows(keyed: DataFrame) -> DataFrame:
 
 
 def _without(keyed: DataFrame, rows: DataFrame) -> DataFrame:
-    """The documents but those whose row key is among `rows` (column doc_id)."""
-    gone = ids_side(rows.select(F.col("doc_id").alias("_gone_row")))
-    return keyed.join(gone, F.col(ROW) == F.col("_gone_row"), "left_anti").drop(ROW)
+    """The documents but those whose row key is among `rows` (column doc_id).
+
+    Keys are dealt without gaps within a stored part, so rows go as bits, 64 keys a word: what the
+    driver broadcasts is two bits a document at most, however many rows go."""
+    word, bits = f"{ROW}_word", f"{ROW}_bits"
+    gone = rows.groupBy(F.expr("shiftright(doc_id, 6)").alias(word)).agg(F.expr("bit_or(shiftleft(1L, cast(doc_id & 63 as int)))").alias(bits))
+    gone = durable(gone)
+    gone = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
+    among = F.expr(f"shiftright({ROW}, 6) = {word} and getbit({bits}, cast({ROW} & 63 as int)) = 1")
+    return keyed.join(gone, among, "left_anti").drop(ROW)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,12 +61,10 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     keyed = _keyed(spark, docs)
     near = durable(simhash.near_duplicates(_rows(keyed)).where("doc_id <> component_id").select("doc_id", "component_id"))
     members = near.unionByName(near.select(F.col("component_id").alias("doc_id"), "component_id").distinct())
-    if near.count() <= BROADCAST_IDS // 2:
-        members = F.broadcast(members)
     ids = keyed.select(F.col(ROW).alias("_row"), F.col("doc_id").alias("_id"))
     first = F.min(F.struct(F.col("_id").isNull(), "_id", "_row"))["_row"]
-    stays = members.join(ids, F.col("doc_id") == F.col("_row")).groupBy("component_id").agg(first.alias("_stays")).select("_stays")
-    return _without(keyed, members.join(stays, F.col("doc_id") == F.col("_stays"), "left_anti"))
+    stays = members.join(simhash.merged(ids), F.col("doc_id") == F.col("_row")).groupBy("component_id").agg(first.alias("_stays")).select("_stays")
+    return _without(keyed, members.join(simhash.merged(stays), F.col("doc_id") == F.col("_stays"), "left_anti"))
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

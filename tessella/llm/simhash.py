@@ -31,6 +31,8 @@ HOT = 500
 #: A key of fewer than this many rows over HOT is never worth a branch of its own.
 HOT_ROWS = 500_000
 FOUR_SEGMENTS = 1_000_000_000
+#: So many edges (16 bytes each) are contracted in one task; more go by distributed stars.
+FEW_EDGES = 250_000
 
 
 def fingerprint(text: str | None, words_per_shingle: int = 3) -> int:
@@ -135,7 +137,8 @@ def _block_edges(pdf):
     return pd.DataFrame({"a": both[to != both], "b": to[to != both]})
 
 
-def _merged(df: DataFrame) -> DataFrame:
+def merged(df: DataFrame) -> DataFrame:
+    """For joins whose sides grow with the documents: sorted and merged, never broadcast."""
     return df.hint("merge")
 
 
@@ -153,11 +156,11 @@ def links(fps: DataFrame, segments: int = 4) -> DataFrame:
     keys = heavy.count()
     if keys:
         named = heavy.select("key", F.ceil(F.col("n") / BLOCK).cast("long").alias("filed_blocks"))
-        few = F.broadcast if keys <= BROADCAST_IDS else _merged
+        few = F.broadcast if keys <= BROADCAST_IDS else merged
         light = filed.join(few(named.select("key")), "key", "left_anti")
     else:
         light = filed
-    pairs = light.withColumnRenamed("fp", "b").join(_merged(sought.withColumnRenamed("fp", "a")), "key")
+    pairs = light.withColumnRenamed("fp", "b").join(merged(sought.withColumnRenamed("fp", "a")), "key")
     edges = pairs.where((F.col("b") < F.col("a")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= MAX_BITS)).select("a", "b")
     if not keys:
         return edges.distinct()
@@ -178,24 +181,59 @@ def _joined(rows: DataFrame, values: DataFrame, key: str, total: int) -> DataFra
     """`rows` with the one row of `values` (which has n, its rows' number) for their key.
 
     A key with over 1 row in HOT of the `total` is dealt out by broadcast: there are fewer
-    than HOT of them. The others are shuffled. `values` are held, so that the plan stays
-    short where no key is hot."""
+    than HOT of them. The others are merged, so that neither side goes through the driver.
+    `values` are held, so that the plan stays short where no key is hot."""
     values = durable(values)
     if values.where(F.col("n") * HOT > max(total, HOT_ROWS)).isEmpty():
-        return rows.join(values.drop("n"), key)
+        return rows.join(merged(values.drop("n")), key)
     hot = F.broadcast(values.where(F.col("n") * HOT > total).drop("n"))
-    rest = values.where(F.col("n") * HOT <= total).drop("n")
+    rest = merged(values.where(F.col("n") * HOT <= total).drop("n"))
     return rows.join(hot, key).unionByName(rows.join(hot.select(key), key, "left_anti").join(rest, key))
 
 
+def _least_reachable(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nodes of the edges and the least node that each reaches: roots are hooked to their
+    least neighbour, then paths are halved; each round leaves half of the roots at most."""
+    nodes, place = np.unique(np.concatenate([a, b]), return_inverse=True)
+    u, v = place[: len(a)], place[len(a) :]
+    root = np.arange(len(nodes))
+    while (root[u] != root[v]).any():
+        low = np.minimum(root[u], root[v])
+        hooked = root.copy()
+        np.minimum.at(hooked, root[u], low)
+        np.minimum.at(hooked, root[v], low)
+        while (hooked[hooked] != hooked).any():
+            hooked = hooked[hooked]
+        root = hooked
+    return nodes, nodes[root]
+
+
+def _contracted(edges: DataFrame) -> DataFrame:
+    """(node, root) of few edges, in one task."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        held = pa.Table.from_batches(list(batches), pa.schema([("a", pa.int64()), ("b", pa.int64())]))
+        if held.num_rows:
+            found = _least_reachable(held.column("a").to_numpy(), held.column("b").to_numpy())
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], ["node", "root"])
+
+    return edges.select("a", "b").coalesce(1).mapInArrow(run, "node long, root long")
+
+
 def components(edges: DataFrame) -> DataFrame:
-    """(node, root): the least node reachable, by alternating large and small stars."""
+    """(node, root): the least node reachable, by alternating large and small stars.
+
+    Each round of stars is six queries of the driver, so few edges are contracted at once."""
     edges = durable(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
     before = None
     while True:
         state = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state == before or state[0] == 0:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(edges.select("b", "b").toDF("node", "root")).distinct()
+        if state[0] <= FEW_EDGES:
+            return _contracted(edges)
         before = state
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count("*").alias("n"))
@@ -216,8 +254,8 @@ def near_duplicates(docs: DataFrame, segments: int | None = None) -> DataFrame:
     groups = durable(fps.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n")))
     total, distinct = groups.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     roots = durable(components(links(groups, segments or (4 if distinct <= FOUR_SEGMENTS else 5))))
-    named = roots.join(groups.withColumnRenamed("fp", "node"), "node")
+    named = roots.join(merged(groups.withColumnRenamed("fp", "node")), "node")
     least = named.groupBy("root").agg(F.min("first_id").alias("least_id"), F.count("*").alias("n"))
     named = _joined(roots, least, "root", distinct).select(F.col("node").alias("fp"), "least_id")
-    of_fp = groups.join(named, "fp", "left").select("fp", "n", F.coalesce("least_id", "first_id").alias("component_id"))
+    of_fp = groups.join(merged(named), "fp", "left").select("fp", "n", F.coalesce("least_id", "first_id").alias("component_id"))
     return _joined(fps, of_fp, "fp", total).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -1,6 +1,8 @@
 import random
 
 import corpus_pipeline
+from pyspark.sql import functions as F
+
 from tessella.llm import simhash
 
 SCHEMA = "doc_id long, text string, source string"
@@ -69,3 +71,35 @@ def test_near_duplicate_stage_broadcasts_no_expanded_keys(spark, monkeypatch):
     assert sorted(r.doc_id for r in kept.select("doc_id").collect()) == list(range(0, 24, 2))
     joined = [p for p in plans if "MapInArrow" in p and "Join" in p]
     assert joined and not any("BroadcastExchange" in p for p in joined)
+
+
+def test_near_duplicate_stage_sends_the_driver_no_rows(spark, monkeypatch):
+    """Of many copies neither members nor dropped rows are broadcast, only words of 64 row keys."""
+    plans, words = [], []
+
+    def held(df):
+        out = durable(df)
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        words.append((out.columns, out.count()))
+        return out
+
+    durable = simhash.durable
+    for module in (simhash, corpus_pipeline):
+        monkeypatch.setattr(module, "durable", held)
+    texts = [prose() for _ in range(3)]
+    docs = spark.createDataFrame([(i, texts[i % 3]) for i in range(1200)], "doc_id long, text string").coalesce(2)
+    kept = corpus_pipeline.drop_near_duplicates(spark, docs, "")
+    assert sorted(r.doc_id for r in kept.select("doc_id").collect()) == [0, 1, 2]
+    assert not any("BroadcastExchange" in p for p in plans)
+    assert words[-1][0] == [f"{corpus_pipeline.ROW}_word", f"{corpus_pipeline.ROW}_bits"] and words[-1][1] <= 1200 / 64 + 2
+
+
+def test_dropped_rows_are_the_ones_whose_bits_are_set(spark):
+    """First, last and sign bit of a word, keys of several parts, repeated keys, none and all."""
+    docs = spark.range(0, 1000, 1, 5).select(F.col("id").alias("doc_id"), F.lit("x").alias("text"))
+    keyed = corpus_pipeline._keyed(spark, docs)
+    for gone in ({0, 63, 64, 127, 199, 200, 263, 462, 999}, set(), set(range(1000))):
+        rows = keyed.where(F.col("doc_id").isin(list(gone)) if gone else F.lit(False)).select(F.col(corpus_pipeline.ROW).alias("doc_id"))
+        got = corpus_pipeline._without(keyed, rows.union(rows))
+        assert got.columns == ["doc_id", "text"]
+        assert sorted(r.doc_id for r in got.collect()) == sorted(set(range(1000)) - gone)

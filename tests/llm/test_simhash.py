@@ -101,3 +101,16 @@ def test_whole_operator_against_brute_force(spark):
     assert sorted(map(tuple, got.collect())) == brute(rows)
     assert simhash.near_duplicates(df.limit(0)).count() == 0
     assert simhash.near_duplicates(spark.createDataFrame([(None, "a b c d"), (4, "a b c d")], df.select("doc_id", "text").schema)).select("component_id").distinct().collect()[0][0] == 4
+
+
+@pytest.mark.parametrize("few", [0, 250_000])
+def test_components_by_stars_and_in_one_task(spark, monkeypatch, few):
+    """A long chain in mixed order, a hub, a ring with negative nodes, loops and repeated edges."""
+    monkeypatch.setattr(simhash, "FEW_EDGES", few)
+    rng = np.random.default_rng(5)
+    chain, hub, ring = rng.permutation(range(1000, 1300)).tolist(), list(range(2000, 2200)), [-(1 << 63), -7, 5, (1 << 63) - 1]
+    edges = list(zip(chain, chain[1:], strict=False)) + [(2100, x) for x in hub] + list(zip(ring, ring[1:] + ring[:1], strict=True))
+    edges += edges[:50] + [(9000, 9000)]
+    got = simhash.components(spark.createDataFrame([edges[i] for i in rng.permutation(len(edges))], "a long, b long"))
+    assert sorted(map(tuple, got.collect())) == sorted((x, min(group)) for group in (chain, hub, ring) for x in group)
+    assert ("MapInArrow" in got._jdf.queryExecution().executedPlan().toString()) == bool(few)
