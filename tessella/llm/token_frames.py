@@ -26,8 +26,10 @@ END_ID = 1
 SKIPPABLE_MAGIC = 0x184D2A5E
 SEEKABLE_MAGIC = 0x8F92EAB1
 CHECKSUM_FLAG = 0x80
-#: Pieces a worker keeps ids of, twice; a table only saves time.
+#: Pieces that went the whole way that a worker keeps ids of, beside those of one call; a table only saves time.
 _CACHE_WORDS = 120_000
+#: Bytes of text that are encoded at once, if no single text is longer.
+_CALL_BYTES = 8 << 20
 #: A shard holds about so many bytes of text and rows at most: its seek table and ids are in memory.
 SHARD_BYTES, SHARD_ROWS = 256 << 20, 1 << 20
 #: Rows of one batch of the reader.
@@ -110,93 +112,122 @@ _SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
 
 
 def _by_pieces(config: dict) -> bool:
-    """Whether the normaliser and the splitter of a tokenizer are those that the shortcuts know."""
+    """Whether the normaliser and the splitter of a tokenizer are those that the shortcuts know, and
+    its model ends each pre-token with a token that says so, whatever the letters."""
     normal, split = config.get("normalizer") or {}, (config.get("pre_tokenizer") or {}).get("pretokenizers") or [{}, {}]
     patterns = split[0].get("pattern") == {"Regex": _SPLIT} and split[0].get("invert") is True and split[0].get("behavior") == "Removed"
     letters = split[-1].get("type") == "ByteLevel" and not split[-1].get("add_prefix_space") and not split[-1].get("use_regex")
-    return normal.get("normalizers") == _NORMALIZERS and len(split) == 2 and patterns and letters and not config.get("post_processor")
+    model = config.get("model") or {}
+    end, vocab = model.get("end_of_word_suffix"), model.get("vocab") or {}
+    plain = model.get("type") == "BPE" and not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "ignore_merges"))
+    ends = plain and bool(end) and all(x in vocab and x + end in vocab for x in _byte_letters().values())
+    return normal.get("normalizers") == _NORMALIZERS and len(split) == 2 and patterns and letters and ends and not config.get("post_processor")
+
+
+#: Precomposed Latin letters that one letter each is the lower case of; closing marks.
+_LATIN = "".join(chr(c) for c in range(0x250) if chr(c).isalpha() and c != 0x130)
+_MARKS = ".,!?;:*&%$#)|"
+#: Words of one call of the library.
+_CALL_WORDS = 2_000
 
 
 @cache
 def make_encoder(tokenizer_path: str, cache_words: int = _CACHE_WORDS):
-    """Texts -> ids as bytes. A tokenizer of another normaliser or splitter than the shortcuts
-    know takes the library's whole way for every text. In this one white space never lies
-    inside a token, so each distinct blank-separated piece is encoded once and a bounded cache serves the repeats. A piece of
-    precomposed Latin letters and closing marks goes straight to the library's model, as its
-    normaliser and splitter do nothing there but lower the letters and part the marks; any
-    other piece takes the library's whole way. A worker's tasks share one encoder."""
+    """Texts, a list or an Arrow array, -> ids as bytes. A tokenizer of another normaliser, splitter or
+    model than the shortcuts know takes the library's whole way for every text. In this one white
+    space never lies inside a token, so each distinct blank-separated piece of a call is encoded
+    once and Arrow puts its ids wherever the piece stands. Of a piece of precomposed Latin letters
+    and closing marks the letters go straight to the library's model, as its normaliser and splitter
+    do nothing there but lower the letters and part the marks: many words at once, told apart by
+    the tokens that end a word. Marks and any other piece take the library's whole way, and a bounded
+    table serves their repeats. A worker's tasks share one encoder."""
     import os
 
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; more threads only hold memory
     from tokenizers import Tokenizer
+    from tokenizers.pre_tokenizers import CharDelimiterSplit
 
     tk = Tokenizer.from_file(tokenizer_path)
-    by_pieces = _by_pieces(json.loads(tk.to_str()))
-    tokenize, letters = tk.model.tokenize, _byte_letters()
-    cores, marks = {}, ".,!?;:*&%$#)|"
+    config = json.loads(tk.to_str())
     end = struct.pack("<I", END_ID)
 
-    formats = [struct.Struct(f"<{n}I").pack for n in range(33)]
-
-    def packed(ids: list[int]) -> bytes:
-        return formats[len(ids)](*ids) if len(ids) < 33 else struct.pack(f"<{len(ids)}I", *ids)
-
-    def run(part: str) -> bytes:
-        """Ids of one pre-token."""
-        got = cores.get(part)
-        if got is None:
-            mapped = part if part.isascii() else "".join([letters[b] for b in part.encode()])
-            got = cores[part] = packed([t.id for t in tokenize(mapped)])
-        return got
-
-    def piece(w: str) -> bytes:
-        core = w.rstrip(marks)
-        if core.isalpha() and (core.isascii() or max(core) < "\u0250" and "\u0130" not in core):
-            return run(core.lower()) + (run(w[len(core) :]) if len(core) < len(w) else b"")
-        return packed(tk.encode(w, add_special_tokens=False).ids)
-
-    class Pieces(dict):
-        """Two generations: what is asked for again outlives the change."""
-
-        old: dict[str, bytes] = {}
-
-        def __missing__(self, w: str) -> bytes:
-            got = self.old.get(w)
-            if got is None:
-                got = piece(w)
-            self[w] = got
-            return got
-
-    pieces = Pieces()
-    get = pieces.__getitem__
-
-    def encode(texts: list[str | None]) -> list[bytes]:
-        if not by_pieces:
-            return [packed(tk.encode(t or "", add_special_tokens=False).ids) + end for t in texts]
-        out = []
-        for t in texts:
-            out.append(b"".join(map(get, (t or "").replace("\n", " ").split(" "))) + end)
-            if len(pieces) > cache_words:
-                pieces.old = dict(pieces)
-                pieces.clear()
-            if len(cores) > cache_words:
-                cores.clear()
-        return out
+    def whole(texts: list[str]) -> list[bytes]:
+        return [struct.pack(f"<{len(ids)}I", *ids) for ids in (tk.encode(t, add_special_tokens=False).ids for t in texts)]
+
+    if not _by_pieces(config):
+        return lambda texts: [raw + end for raw in whole([t or "" for t in (texts if isinstance(texts, list) else texts.to_pylist())])]
+
+    vocab, suffix = config["model"]["vocab"], config["model"]["end_of_word_suffix"]
+    last = np.zeros(max(vocab.values()) + 1, bool)
+    last[[i for t, i in vocab.items() if t.endswith(suffix)]] = True
+    letters = {b: x for b, x in _byte_letters().items() if b != ord(" ")}
+    model = Tokenizer(tk.model)
+    model.pre_tokenizer = CharDelimiterSplit(" ")
+    latin = f"^[{_LATIN}]+[{_MARKS}]*$"
+    del config, vocab
+
+    def direct(words: pa.Array) -> pa.Array:
+        """Ids of lower-case words by the model alone."""
+        ids, ends, size = [np.empty(0, "<u4")], [np.zeros(1, np.int64)], 0
+        for a in range(0, len(words), _CALL_WORDS):
+            some = words.slice(a, _CALL_WORDS)
+            text = " ".join(some.to_pylist())
+            if not text.isascii():
+                text = text.encode().decode("latin-1").translate(letters)
+            got = np.array(model.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+            cuts = np.flatnonzero(last[got]) + 1
+            if len(cuts) != len(some):
+                raise ValueError("the model did not end each word with a token that says so")
+            ids.append(got)
+            ends.append(size + cuts)
+            size += len(got)
+        return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(words), [None, pa.py_buffer(4 * np.concatenate(ends)), pa.py_buffer(np.concatenate(ids))])
+
+    known: dict[str, bytes] = {}
+
+    def served(words: list[str]) -> pa.Array:
+        """Ids by the whole way. Beyond `cache_words` the table keeps those of this call only."""
+        got = {w: known[w] if w in known else whole([w])[0] for w in words}
+        if len(known) + len(got) > cache_words:
+            known.clear()
+        known.update(got)
+        return pa.array(got.values(), pa.large_binary())
+
+    def encode(texts) -> list[bytes]:
+        texts = pa.array(texts, pa.string()) if isinstance(texts, list) else texts
+        split = pc.split_pattern(pc.replace_substring(pc.fill_null(texts, ""), "\n", " "), " ")
+        starts = split.offsets.to_numpy() - split.offsets[0].as_py()
+        coded = split.flatten().dictionary_encode()
+        del split
+        words = coded.dictionary
+        plain = pc.match_substring_regex(words, latin)
+        some = words.filter(plain)
+        cores, marks = (x.dictionary_encode() for x in (pc.utf8_lower(pc.utf8_rtrim(some, _MARKS)), pc.utf8_ltrim(some, _LATIN)))
+        ids = pc.binary_join_element_wise(direct(cores.dictionary).take(cores.indices), served(marks.dictionary.to_pylist()).take(marks.indices), pa.scalar(b"", pa.large_binary()))
+        ids = pa.concat_arrays([ids, served(words.filter(pc.invert(plain)).to_pylist())])
+        place, plain = np.empty(len(words), np.int64), plain.to_numpy(zero_copy_only=False)
+        place[plain], place[~plain] = np.arange(len(some)), np.arange(len(some), len(words))
+        ids = ids.take(pa.array(place).take(coded.indices))
+        at = np.frombuffer(ids.buffers()[1], np.int64)[ids.offset :][starts].tolist()
+        raw = memoryview(ids.buffers()[2] or b"")
+        return [b"".join((raw[i:j], end)) for i, j in zip(at, at[1:])]
 
     return encode
 
 
-def _pieces(batch, most_chars: int = 1_000_000):
+def _pieces(batch, most_bytes: int = _CALL_BYTES):
     """Slices of an Arrow batch with bounded text."""
-    ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-    a = size = 0
-    for i, t in enumerate(texts):
-        size += len(t or "")
-        if size >= most_chars:
-            yield ids[a : i + 1], texts[a : i + 1]
-            a, size = i + 1, 0
-    if a < len(ids):
-        yield ids[a:], texts[a:]
+    import pyarrow.compute as pc
+
+    ids, texts = batch.column(0), batch.column(1)
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    cuts = (np.flatnonzero(np.diff(np.cumsum(sizes) // most_bytes)) + 1).tolist()
+    for a, b in zip([0, *cuts], [*cuts, len(sizes)]):
+        if a < b:
+            yield ids.slice(a, b - a).to_pylist(), texts.slice(a, b - a)
 
 
 def _in_order(docs: DataFrame, shards: int | None) -> DataFrame:

@@ -1,7 +1,10 @@
+import json
+import sys
 import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -96,3 +99,46 @@ def test_another_tokenizer_takes_the_whole_way():
     texts = ["Two  blanks\n and Case", None]
     tk = Tokenizer.from_file(other)
     assert token_frames.make_encoder(other)(texts) == [np.array(tk.encode(t or "", add_special_tokens=False).ids + [1], "<u4").tobytes() for t in texts]
+
+
+def drawn_words(n, seed=3):
+    rng = np.random.default_rng(seed)
+    letters, marks = list("abcdefghijklmnopqrstuvwxyzABCÄÖÜßéèñçŁŷ"), ["", "", "", ".", "!?", "$$$"]
+    return list({"".join(rng.choice(letters, rng.integers(3, 14))) + marks[rng.integers(6)] for _ in range(n)})
+
+
+def test_distinct_latin_words_share_calls_of_the_library():
+    words, calls = drawn_words(20_000), []
+    encode = token_frames.make_encoder(BPE)
+    sys.setprofile(lambda _, event, f: calls.append(f.__name__) if event == "c_call" and "tokenizers" in type(getattr(f, "__self__", None)).__module__ else None)
+    try:
+        got = encode([" ".join(words)])
+    finally:
+        sys.setprofile(None)
+    tk = Tokenizer.from_file(BPE)
+    assert got == [np.array(tk.encode(" ".join(words), add_special_tokens=False).ids + [1], "<u4").tobytes()]
+    assert 0 < len(calls) < len(words) / 100
+
+
+def test_arrow_slices_of_bounded_text_equal_the_library():
+    rng, tk = np.random.default_rng(4), Tokenizer.from_file(BPE)
+    words = drawn_words(400) + ["12,345", "don't", "日本語", "e\u0301", "", "", "\n", "\t", "x\n\ny", "İ", "a<|endoftext|>b"]
+    texts = [" ".join(rng.choice(words, rng.integers(0, 60))) if i % 7 else [None, "", " ", "\n"][i // 7 % 4] for i in range(300)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(300)), pa.array(texts)], ["doc_id", "text"]).slice(5)
+    encode, got, slices = token_frames.make_encoder(BPE, 5), [], 0
+    for ids, some in token_frames._pieces(batch, 5_000):
+        slices += 1
+        assert sum(len(t.encode()) for t in some.to_pylist()[1:] if t) <= 5_000 and len(ids) == len(some)
+        got += zip(ids, encode(some), strict=True)
+    assert slices > 5
+    assert got == [(i, np.array(tk.encode(t or "", add_special_tokens=False).ids + [1], "<u4").tobytes()) for i, t in enumerate(texts)][5:]
+
+
+def test_a_model_without_ends_of_words_takes_the_whole_way(tmp_path):
+    config = json.loads(Tokenizer.from_file(BPE).to_str())
+    assert token_frames._by_pieces(config)
+    config["model"]["end_of_word_suffix"] = None
+    assert not token_frames._by_pieces(config)
+    (path := tmp_path / "t.json").write_text(json.dumps(config))
+    tk, texts = Tokenizer.from_file(str(path)), ["The cat's mat.", None]
+    assert token_frames.make_encoder(str(path))(texts) == [np.array(tk.encode(t or "", add_special_tokens=False).ids + [1], "<u4").tobytes() for t in texts]
