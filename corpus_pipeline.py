@@ -15,7 +15,7 @@ from tessella.ship import ship
 
 TOKENIZER = "word_bpe_49k.json"
 #: Fewer than the operator's own: workers serve all stages and keep what each has filled.
-CACHE_WORDS = 80_000
+CACHE_WORDS, CALL_BYTES = 80_000, 2 << 20
 
 
 #: Column of a row's own key while a stage decides; ids may be null or repeated.
@@ -85,7 +85,7 @@ def tokenized(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     A null text has the end id alone."""
     import public_tokenizers
 
-    return token_frames.token_frames(docs, public_tokenizers.path(TOKENIZER), as_they_come=True, cache_words=CACHE_WORDS)
+    return token_frames.token_frames(docs, public_tokenizers.path(TOKENIZER), as_they_come=True, cache_words=CACHE_WORDS, call_bytes=CALL_BYTES)
 
 
 STAGES = [

@@ -28,8 +28,8 @@ SEEKABLE_MAGIC = 0x8F92EAB1
 CHECKSUM_FLAG = 0x80
 #: Pieces that went the whole way that a worker keeps ids of, beside those of one call; a table only saves time.
 _CACHE_WORDS = 120_000
-#: Bytes of text that are encoded at once, if no single text is longer.
-_CALL_BYTES = 8 << 20
+#: Bytes of text that are encoded at once, and one text more: more takes memory, fewer repeat more words.
+CALL_BYTES = 8 << 20
 #: A shard holds about so many bytes of text and rows at most: its seek table and ids are in memory.
 SHARD_BYTES, SHARD_ROWS = 256 << 20, 1 << 20
 #: Rows of one batch of the reader.
@@ -127,8 +127,8 @@ def _by_pieces(config: dict) -> bool:
 #: Precomposed Latin letters that one letter each is the lower case of; closing marks.
 _LATIN = "".join(chr(c) for c in range(0x250) if chr(c).isalpha() and c != 0x130)
 _MARKS = ".,!?;:*&%$#)|"
-#: Words of one call of the library.
-_CALL_WORDS = 2_000
+#: Words of one call of the library; texts whose ids are put in place at once.
+_CALL_WORDS, _CALL_TEXTS = 2_000, 256
 
 
 @cache
@@ -208,17 +208,23 @@ def make_encoder(tokenizer_path: str, cache_words: int = _CACHE_WORDS):
         cores, marks = (x.dictionary_encode() for x in (pc.utf8_lower(pc.utf8_rtrim(some, _MARKS)), pc.utf8_ltrim(some, _LATIN)))
         ids = pc.binary_join_element_wise(direct(cores.dictionary).take(cores.indices), served(marks.dictionary.to_pylist()).take(marks.indices), pa.scalar(b"", pa.large_binary()))
         ids = pa.concat_arrays([ids, served(words.filter(pc.invert(plain)).to_pylist())])
-        place, plain = np.empty(len(words), np.int64), plain.to_numpy(zero_copy_only=False)
-        place[plain], place[~plain] = np.arange(len(some)), np.arange(len(some), len(words))
-        ids = ids.take(pa.array(place).take(coded.indices))
-        at = np.frombuffer(ids.buffers()[1], np.int64)[ids.offset :][starts].tolist()
-        raw = memoryview(ids.buffers()[2] or b"")
-        return [b"".join((raw[i:j], end)) for i, j in zip(at, at[1:])]
+        del words, some, cores, marks
+        plain, indices, out = plain.to_numpy(zero_copy_only=False), coded.indices, []
+        place = np.empty(len(plain), np.int32)
+        place[plain], place[~plain] = np.split(np.arange(len(plain), dtype=np.int32), [plain.sum()])
+        place = pa.array(place)
+        for a in range(0, len(texts), _CALL_TEXTS):
+            at = starts[a : a + _CALL_TEXTS + 1]
+            some = ids.take(place.take(indices.slice(at[0], at[-1] - at[0])))
+            at = np.frombuffer(some.buffers()[1], np.int64)[at - at[0]].tolist()
+            raw = memoryview(some.buffers()[2] or b"")
+            out += [b"".join((raw[i:j], end)) for i, j in zip(at, at[1:])]
+        return out
 
     return encode
 
 
-def _pieces(batch, most_bytes: int = _CALL_BYTES):
+def _pieces(batch, most_bytes: int):
     """Slices of an Arrow batch with bounded text."""
     import pyarrow.compute as pc
 
@@ -241,7 +247,7 @@ def _in_order(docs: DataFrame, shards: int | None) -> DataFrame:
     return keyed.repartitionByRange(shards, "doc_id", "_head", "_text_hash").sortWithinPartitions("doc_id", "_head", "_text_hash", "text").select("doc_id", "text")
 
 
-def write_token_frames(docs: DataFrame, folder: str, tokenizer_path: str, shards: int | None = None, as_they_come: bool = False, cache_words: int = _CACHE_WORDS) -> DataFrame:
+def write_token_frames(docs: DataFrame, folder: str, tokenizer_path: str, shards: int | None = None, as_they_come: bool = False, cache_words: int = _CACHE_WORDS, call_bytes: int = CALL_BYTES) -> DataFrame:
     """Write the documents in ascending doc_id order as shard files under `folder`.
 
     With `as_they_come` the partitions of `docs` are the shards and their order stays, so that
@@ -266,7 +272,7 @@ def write_token_frames(docs: DataFrame, folder: str, tokenizer_path: str, shards
         encode = out = writer = None
         tokens = 0
         for batch in batches:
-            for ids, texts in _pieces(batch):
+            for ids, texts in _pieces(batch, call_bytes):
                 if out is None:
                     encode, out = make_encoder(tokenizer_path, cache_words), _open(path, "w")
                     writer = FrameWriter(out)
@@ -277,6 +283,7 @@ def write_token_frames(docs: DataFrame, folder: str, tokenizer_path: str, shards
             writer.finish()
             size = out.tell()
             out.close()
+            pa.default_memory_pool().release_unused()
             yield pa.RecordBatch.from_pylist([{"shard": part, "path": path, "n_docs": len(writer.doc_ids), "n_tokens": tokens, "size": size}])
 
     return durable(ordered.mapInArrow(write, "shard long, path string, n_docs long, n_tokens long, size long"))
@@ -308,7 +315,7 @@ def read_token_frames(manifest: DataFrame) -> DataFrame:
     return placed.mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long, shard long, frame long")
 
 
-def token_frames(docs: DataFrame, tokenizer_path: str, as_they_come: bool = False, cache_words: int = _CACHE_WORDS) -> DataFrame:
+def token_frames(docs: DataFrame, tokenizer_path: str, as_they_come: bool = False, cache_words: int = _CACHE_WORDS, call_bytes: int = CALL_BYTES) -> DataFrame:
     """Write `docs` to the shared folder and read the files back."""
     folder = shared_folder(docs.sparkSession, "token-frames")
-    return read_token_frames(write_token_frames(docs, folder, tokenizer_path, as_they_come=as_they_come, cache_words=cache_words))
+    return read_token_frames(write_token_frames(docs, folder, tokenizer_path, as_they_come=as_they_come, cache_words=cache_words, call_bytes=call_bytes))
