@@ -21,10 +21,10 @@ from statistics import NormalDist
 
 import numpy as np
 import xxhash
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import durable
 from tessella.llm.sampling import labelled, remainder
 
 BUCKETS = 1 << 22
@@ -40,6 +40,8 @@ THRESHOLD = 0.7
 MODULUS, HELD = 3, 1
 _WORD = re.compile(r"[^\W\d_]+")
 _CACHE_WORDS = 200_000
+#: Texts of a batch that are held as Python strings at once.
+TEXTS = 256
 
 
 def word_terms(word: str) -> list[int]:
@@ -51,6 +53,13 @@ def words(text: str | None) -> set[str]:
     return set(_WORD.findall((text or "").lower()))
 
 
+def _slices(batches):
+    """The rows of all batches in their order, at most TEXTS at once."""
+    for batch in batches:
+        for k in range(0, batch.num_rows, TEXTS):
+            yield batch.slice(k, TEXTS)
+
+
 @dataclass
 class FactorizationMachine:
     terms: np.ndarray  # sorted buckets
@@ -164,23 +173,28 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, seed: int = 7, steps: int =
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, most_terms: int = TRAIN_TERMS, seed: int = 3) -> FactorizationMachine:
     """Learns from at most `rows` labelled documents, in the order of their ids' hashes as long
-    as their terms are `most_terms` at most; the held-out fold is never read."""
+    as their terms are `most_terms` at most; the held-out fold is never read. The sample's terms
+    are kept on the executors' disks until both readings are done, and not checkpointed: each file
+    of a checkpoint lets an executor start processes that set its mode."""
 
     def run(batches):
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in _slices(batches):
             terms = [np.unique(np.array([b for w in words(t) for b in word_terms(w)], "<i4")) for t in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(t) for t in terms], pa.int32()), pa.array([t.tobytes() for t in terms], pa.binary())], ["place", "label", "size", "terms"])
 
     sample = labelled(docs, labels, "toxic", MODULUS, HELD, rows, seed).select(F.xxhash64("doc_id", F.lit(seed)).alias("place"), "label", "text")
-    sample = durable(sample.mapInArrow(run, "place long, label int, size int, terms binary"))
-    sizes = sample.groupBy("place").agg(F.sum("size").alias("size")).orderBy("place").toArrow()
-    places = sizes.column("place").to_numpy()
-    fits = np.cumsum(sizes.column("size").to_numpy()) <= most_terms
-    if not fits.any():
-        return FactorizationMachine(np.empty(0, np.int64), 0.0, np.empty(0), np.empty((0, FACTORS)))
-    got = sample.where(F.col("place") <= int(places[fits][-1])).select("label", "terms").toArrow()
+    sample = sample.mapInArrow(run, "place long, label int, size int, terms binary").persist(StorageLevel.DISK_ONLY)
+    try:
+        sizes = sample.groupBy("place").agg(F.sum("size").alias("size")).orderBy("place").toArrow()
+        places = sizes.column("place").to_numpy()
+        fits = np.cumsum(sizes.column("size").to_numpy()) <= most_terms
+        if not fits.any():
+            return FactorizationMachine(np.empty(0, np.int64), 0.0, np.empty(0), np.empty((0, FACTORS)))
+        got = sample.where(F.col("place") <= int(places[fits][-1])).select("label", "terms").toArrow()
+    finally:
+        sample.unpersist()
     y = got.column("label").to_numpy()
     x = [np.frombuffer(b.as_py(), "<i4") for b in got.column("terms")]
     order = sorted(range(len(y)), key=lambda i: (x[i].tobytes(), y[i]))
@@ -194,7 +208,7 @@ def score(docs: DataFrame, model: FactorizationMachine) -> DataFrame:
         import pyarrow as pa
 
         place, known = {int(b): i for i, b in enumerate(model.terms)}, {}
-        for batch in batches:
+        for batch in _slices(batches):
             rows = []
             for t in batch.column(1).to_pylist():
                 at = set()

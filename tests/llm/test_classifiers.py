@@ -86,6 +86,31 @@ def test_scores_of_the_whole_query_equal_plain_sums(spark):
         assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) and r.predicted == int(r.score >= 0.7)
 
 
+def test_training_writes_no_checkpoint(spark):
+    """The sample of op4 is read twice without files of a checkpoint, and is not kept after that."""
+    from pathlib import Path
+    from urllib.parse import urlparse
+
+    from tessella.llm.common import shared_root
+
+    shared_root(spark)
+    folder = Path(urlparse(spark.sparkContext.getCheckpointDir()).path)
+    kept = spark.sparkContext._jsc.getPersistentRDDs
+    before, had = set(folder.rglob("*")), set(kept().keySet())
+    sf = "/root/testdata/sf0.01"
+    assert toxicity.train(spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")).terms.size > 0
+    assert set(folder.rglob("*")) <= before and set(kept().keySet()) <= had
+
+
+def test_batches_are_read_in_slices():
+    import pyarrow as pa
+
+    batches = [pa.RecordBatch.from_arrays([pa.array(range(k, k + n))], ["x"]) for k, n in ((0, 0), (0, 1000), (1000, 1), (1001, 256))]
+    got = list(toxicity._slices(batches))
+    assert [x for b in got for x in b.column(0).to_pylist()] == list(range(1257))
+    assert max(b.num_rows for b in got) == toxicity.TEXTS
+
+
 def test_quality_query_equals_plain_densities(spark):
     """Statistics, fit and scores of op6 from plain loops over the same documents."""
     sf = "/root/testdata/sf0.01"
